@@ -158,7 +158,7 @@ def p1_event_sessions(spark: SparkSession, sf_dir: str, gap_minutes: int = 30) -
 
 
 P1_EVENTS_SQL = """
-with e as (select cast(user_id as varchar) as user_id, epoch_ms(ts) as ms from events where user_id is not null and ts is not null),
+with e as (select cast(user_id as varchar) as user_id, epoch_us(ts) // 1000 as ms from events where user_id is not null and ts is not null),
 g as (select *, case when ms - lag(ms) over (partition by user_id order by ms) <= 1800000 then 0 else 1 end as fresh from e),
 s as (select *, sum(fresh) over (partition by user_id order by ms rows unbounded preceding) as k from g)
 select user_id, min(ms) as start_ms, max(ms) as end_ms, max(ms) - min(ms) as duration_ms, count(*) as n_events
