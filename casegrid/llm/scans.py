@@ -1,7 +1,7 @@
 """Noise in text from scanned pages (problem 5): broken and misread words, running headers, page numbers.
 
 Pass 1 reads each page scan line by line. Lines that hold nothing but a page number, and lines that may be running headers,
-are told by a classifier over pairs of lines: a line and its likest other line in the scan. Words broken at line ends are put
+are told by pairs of lines: a line with its likest other line in the scan, and with its neighbours at the page's edge. Words broken at line ends are put
 together across such furniture. Pass 2 counts all words of all scans. Misread words get candidates through an inverted
 join on character 2-grams, keyed by their place from either end of the word; gradient-boosted trees rank the
 candidates and choose the replacement. Every choice is by counts over the whole corpus.
@@ -108,17 +108,6 @@ def read_lines(text: str) -> tuple[list[str], list[bool]]:
     return lines, fresh
 
 
-#: Weights of the classifier over a pair of lines (a line and its likest other line), fitted by `fit_pairs`.
-_PAIR_FEATURES = ("likeness", "title", "edge", "far", "letters")
-
-
-def pair_features(a: str, b: str, title: bool, edge: bool, apart: int) -> list[float]:
-    """Features of a line and another one: likeness of folded shapes, form, place, distance in lines, letters."""
-    x, y = fold(a), fold(b)
-    most = max(len(x), len(y), 1)
-    return [1 - _distance(x, y, max(2, most // 4)) / most, float(title), float(edge), min(apart, 40) / 40, min(len(x), 40) / 40]
-
-
 def _near_number(lines: list[str], marks: list[bool], fresh: list[bool], i: int) -> bool:
     """Whether a line stands at a page's edge: next to a page number or page break."""
     if fresh[i] or _TAIL.search(lines[i]) or _HEAD.search(lines[i]):
@@ -170,7 +159,8 @@ def scan_rows(text: str) -> list[tuple]:
     for i, shape in list(shapes.items()):
         if shape and often[shape] == 1:  # a reading of its own: take the likest shape's
             for other in often:
-                if other != shape and often[other] > 1 and _distance(shape, other, 2 if len(shape) > 8 else 1) <= 2:
+                most = 2 if len(shape) > 8 else 1
+                if other != shape and often[other] > 1 and _distance(shape, other, most) <= most:
                     shapes[i] = other
                     break
     often = Counter(shapes.values())
