@@ -92,8 +92,11 @@ def inspect(spark: SparkSession, sql: str, allowed: tuple[str, ...] = ALLOWED_TA
     if wrong:
         return Verdict(False, f"Table not allowed: {wrong[0]}", tables)
     limit = None
-    if names[0] == "GlobalLimit":
-        said = plan.limitExpr().toString()
+    top = plan
+    while top.getClass().getSimpleName() == "UnresolvedWith":
+        top = top.child()
+    if top.getClass().getSimpleName() == "GlobalLimit":
+        said = top.limitExpr().toString()
         limit = int(said) if said.isdigit() else None
     if limit is None:
         return Verdict(False, "LIMIT clause required", tables)

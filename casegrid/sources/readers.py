@@ -69,7 +69,7 @@ def read_key_values(spark: SparkSession, path: str, per_block: bool = True) -> D
 
 def pipe_tables(texts: DataFrame, column: str = "value") -> DataFrame:
     """Rows of tables drawn with `|`, as maps from header to cell; a row counts if it has as many cells as the header."""
-    cells = lambda c: F.transform(F.split(F.trim(c, F.lit("| ")), r"\|"), F.trim)
+    cells = lambda c: F.transform(F.split(F.trim(c, F.lit("| ")), r"\|"), lambda x: F.trim(x))
     lines = F.filter(F.split(column, r"\n"), lambda x: F.contains(x, F.lit("|")))
     t = texts.select(lines.alias("l")).where(F.size("l") > 1).select(cells(F.get("l", F.lit(0))).alias("h"), F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("r"))
     t = t.select("h", cells(F.col("r")).alias("c")).where((F.size("h") == F.size("c")) & ~F.forall("c", lambda x: F.rlike(x, F.lit(r"^[-:\s]*$"))))
