@@ -275,11 +275,11 @@ def link(rows: DataFrame, nicknames: DataFrame, settings: Settings = Settings())
 
 
 def _token_counts(full: DataFrame) -> DataFrame:
-    """(entity, common): whether all tokens of an entity's key occur in several other entities."""
-    keys = full.where("entity is not null").select("entity").distinct()
+    """(entity, common): whether all tokens of an entity's key occur in several entities, each case counted by itself."""
+    keys = full.where("entity is not null").select("case_id", "entity").distinct()
     words = keys.select("entity", F.explode(F.split("entity", "[: ]")).alias("token")).where(F.length("token") > 1)
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return words.join(counts, "token").groupBy("entity").agg((F.min("n") >= 4).alias("common"))
+    return words.distinct().join(counts, "token").groupBy("entity").agg((F.min("n") >= 4).alias("common"))
 
 
 def name_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,8 @@ CONFUSIONS = [
 
 @dataclass(frozen=True)
 class Settings:
-    """ratio: how much more frequent the right word must be; the rest bounds the ranker's training sample."""
+    """ratio: how much more frequent the right word must be; shared: 2-grams in common, at the same place from either
+    end, per letter; accept: least score of a replacement; train_words bounds the ranker's training sample."""
 
     ratio: float = 6.0
     least_documents: int = 4
@@ -281,7 +282,7 @@ def fit_ranker(words: list[tuple[str, int]], settings: Settings) -> Boosted | No
     def near(w: str) -> list[tuple[int, float]]:
         grams = place_grams(w)
         hits = Counter(i for g in grams for i in index.get(g, ()))
-        return [(i, n / len(grams)) for i, n in hits.most_common(6) if n / len(grams) >= 0.3]
+        return [(i, 2 * n / len(grams)) for i, n in hits.most_common(6) if 2 * n / len(grams) >= settings.shared]
 
     x, y = [], []
     for k, (w, n) in enumerate(words):
@@ -309,7 +310,7 @@ def replacements(words: DataFrame, settings: Settings) -> DataFrame:
         return words.select("word", F.col("word").alias("right")).where("false")
     grams = F.pandas_udf(lambda s: s.map(place_grams), "array<string>")
     right = common.select(F.col("word").alias("right"), F.col("n_documents").alias("m"), F.explode(grams("word")).alias("g"))
-    left = long.where(F.col("named") < 0.9).select("word", F.col("n_documents").alias("n"), (2 * F.length("word") + 2).alias("size"), F.explode(grams("word")).alias("g"))
+    left = long.where(F.col("named") < 0.9).select("word", F.col("n_documents").alias("n"), (F.length("word") + 1).alias("size"), F.explode(grams("word")).alias("g"))
     pairs = left.join(right, "g").where((F.col("m") >= settings.ratio * F.col("n")) & (F.col("word") != F.col("right")))
     pairs = pairs.groupBy("word", "right").agg((F.count(F.lit(1)) / F.first("size")).alias("shared"), (F.first("m") / F.first("n")).alias("ratio"))
     pairs = pairs.where((F.col("shared") >= settings.shared) & (F.abs(F.length("word") - F.length("right")) <= 2))
