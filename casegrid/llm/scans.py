@@ -1,7 +1,8 @@
 """Noise in text from scanned pages (problem 5): broken and misread words, running headers, page numbers.
 
 Pass 1 reads each page scan line by line. Lines that hold nothing but a page number, and lines that may be running headers,
-are told by pairs of lines: a line with its likest other line in the scan, and with its neighbours at the page's edge. Words broken at line ends are put
+are told by pairs of lines: a line with its likest other line in the scan, and with its neighbours at the page's edge;
+boosted trees decide on the pairs. Words broken at line ends are put
 together across such furniture. Pass 2 counts all words of all scans. Misread words get candidates through an inverted
 join on character 2-grams, keyed by their place from either end of the word; gradient-boosted trees rank the
 candidates and choose the replacement. Every choice is by counts over the whole corpus.
@@ -34,13 +35,15 @@ CONFUSIONS = [
 @dataclass(frozen=True)
 class Settings:
     """ratio: how much more frequent the right word must be; shared: 2-grams in common, at the same place from either
-    end, per letter; accept: least score of a replacement; train_words bounds the ranker's training sample."""
+    end, per letter; accept: least score of a replacement; train_words and train_lines bound the
+    training samples of the two classifiers."""
 
     ratio: float = 6.0
     least_documents: int = 4
     shared: float = 0.5
     accept: float = 0.5
     train_words: int = 3000
+    train_lines: int = 4000
     seed: int = 3
 
 
@@ -333,6 +336,30 @@ def _shape_table(lines: DataFrame) -> DataFrame:
     return by
 
 
+def _is_header(known: DataFrame, settings: Settings) -> DataFrame:
+    """Lines that are running headers, told by boosted trees over pairs of lines of like shape.
+
+    Features: whether the line stands at a page's edge; how often its shape does, and occurs more than once in a scan, over the
+    corpus. The trees are fitted on a bounded sample of lines that these shares settle; without
+    both kinds of them (few scans) the settled rule itself decides.
+    """
+    sure = (F.col("n") > 1) & (F.col("repeated") >= 0.8) & (F.col("shape_edge") >= 0.8)
+    never = F.col("repeated") <= 0.2
+    features = ["edge", "repeated", "shape_edge"]
+    rows = known
+    few = rows.where(sure | never).select(*features, sure.cast("double").alias("y"), F.xxhash64("source_table", "record_id", "a").alias("h"))
+    few = few.orderBy("h").limit(settings.train_lines).toPandas()
+    if few["y"].nunique() < 2 or min(few["y"].value_counts()) < 20:
+        return rows.where((F.col("n") > 1) & (F.col("edge") + F.col("shape_edge") > 0.6) & (F.col("repeated") >= 0.4))
+    trees = Boosted(trees=30, least=6).fit(few[features].to_numpy(), few["y"].to_numpy())
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(trees.score(np.column_stack([a, b, c])))
+
+    return rows.where(score(*features) >= 0.5)
+
+
 def found(scans: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(source_table, record_id, noise_kind, found), distinct, of scans (source_table, record_id, text)."""
     rows = cut(pass_one(scans))
@@ -341,9 +368,7 @@ def found(scans: DataFrame, settings: Settings = Settings()) -> DataFrame:
     lines = rows.where("kind = 'line'")
     shapes = _shape_table(lines)
     known = lines.join(shapes.withColumnRenamed("edge", "shape_edge"), "b")
-    header = ((F.col("n") > 1) & (F.col("edge") + F.col("shape_edge") > 0.6) & (F.col("repeated") >= 0.4)) | (
-        (F.col("n") == 1) & (F.col("repeated") >= 0.6) & (F.col("edge") > 0) & (F.col("shape_edge") > 0.6))
-    headers = known.where(header).select(*key, F.lit("header").alias("noise_kind"), F.col("a").alias("found"))
+    headers = _is_header(cut(known), settings).select(*key, F.lit("header").alias("noise_kind"), F.col("a").alias("found"))
 
     uses = rows.where("kind = 'word'").groupBy("a").agg(F.countDistinct("record_id").alias("n_documents"), F.avg("edge").alias("named"))
     words = cut(uses.select(F.col("a").alias("word"), "n_documents", "named"))
