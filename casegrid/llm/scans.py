@@ -29,17 +29,21 @@ CONFUSIONS = [
     ("m", "rn"), ("d", "cl"), ("n", "ri"), ("w", "vv"), ("h", "b"), ("e", "c"), ("o", "0"), ("i", "1"), ("l", "1"), ("a", "@"),
     ("a", "4"), ("t", "+"), ("g", "9"), ("s", "5"), ("b", "6"), ("z", "2"), ("e", "3"), ("i", "!"), ("l", "|"), ("s", "$"),
     ("u", "ii"), ("h", "li"), ("i", "l"), ("l", "i"), ("b", "8"), ("q", "9"), ("k", "lc"), ("y", "v"), ("f", "t"),
+    ("rn", "m"), ("cl", "d"), ("vv", "w"),
 ]
 
 
 @dataclass(frozen=True)
 class Settings:
-    """ratio: how much more frequent the right word must be; shared: 2-grams in common, at the same place from either
+    """A word is common if it occurs in least_documents scans and in common_share of all; only words of train_share make
+    training examples, as misreadings may be frequent too. ratio: how much more frequent the right word must be; shared: 2-grams in common, at the same place from either
     end, per letter; accept: least score of a replacement; train_words and train_lines bound the
     training samples of the two classifiers."""
 
     ratio: float = 6.0
     least_documents: int = 4
+    common_share: float = 0.002
+    train_share: float = 0.005
     shared: float = 0.5
     accept: float = 0.5
     train_words: int = 3000
@@ -303,11 +307,13 @@ def fit_ranker(words: list[tuple[str, int]], settings: Settings) -> Boosted | No
     return Boosted().fit(np.array(x), np.array(y)) if sum(y) else None
 
 
-def replacements(words: DataFrame, settings: Settings) -> DataFrame:
-    """(word, right) for misread words. words: word, n_documents, named (share of uses as a name within a sentence)."""
+def replacements(words: DataFrame, scans: int, settings: Settings) -> DataFrame:
+    """(word, right) for misread words. words: word, n_documents, named (share of uses as a name within a sentence);
+    scans: number of scans they are counted over."""
     long = words.where(F.length("word").between(3, 40))
-    common = long.where((F.col("n_documents") >= settings.least_documents) & F.col("word").rlike(r"^[\p{L}]+([-'’][\p{L}]+)*$") & (F.col("named") < 0.5))
-    most = [(r["word"], r["n_documents"]) for r in common.orderBy(F.desc("n_documents"), "word").limit(settings.train_words).collect()]
+    common = long.where((F.col("n_documents") >= max(settings.least_documents, settings.common_share * scans)) & F.col("word").rlike(r"^[\p{L}]+([-'’][\p{L}]+)*$") & (F.col("named") < 0.5))
+    seen_often = common.where(F.col("n_documents") >= settings.train_share * scans)
+    most = [(r["word"], r["n_documents"]) for r in seen_often.orderBy(F.desc("n_documents"), "word").limit(settings.train_words).collect()]
     ranker = fit_ranker(most, settings)
     if ranker is None:
         return words.select("word", F.col("word").alias("right")).where("false")
@@ -325,7 +331,7 @@ def replacements(words: DataFrame, settings: Settings) -> DataFrame:
         return pd.Series(np.where(x[:, 0] <= 0.65, p, 0.0) if len(x) else p)
 
     scored = pairs.withColumn("p", score("word", "right", "ratio", "shared")).where(F.col("p") >= settings.accept)
-    return scored.groupBy("word").agg(F.max_by("right", F.struct("p", "ratio", "right")).alias("right"))
+    return scored.groupBy("word").agg(F.max_by("right", F.struct("p", "shared", "ratio", "right")).alias("right"))
 
 
 def _shape_table(lines: DataFrame) -> DataFrame:
@@ -382,8 +388,9 @@ def found(scans: DataFrame, settings: Settings = Settings()) -> DataFrame:
     breaks = breaks.select(*key, F.when(keep, F.col("kept")).otherwise(F.col("whole")).alias("word"))
 
     joined_words = breaks.groupBy("word").agg(F.countDistinct("record_id").alias("n_documents")).withColumn("named", F.lit(0.0))
+    scans_read = rows.select(*key).distinct().count()
     fixes = cut(replacements(
-        words.unionByName(joined_words).groupBy("word").agg(F.sum("n_documents").alias("n_documents"), F.min("named").alias("named")), settings))
+        words.unionByName(joined_words).groupBy("word").agg(F.sum("n_documents").alias("n_documents"), F.min("named").alias("named")), scans_read, settings))
     hyphens = breaks.join(fixes, "word", "left").select(*key, F.lit("hyphen").alias("noise_kind"), F.coalesce("right", "word").alias("found"))
     seen = rows.where("kind = 'word'").select(*key, F.col("a").alias("word")).unionByName(breaks)
     chars = seen.join(fixes, "word").select(*key, F.lit("char").alias("noise_kind"), F.col("right").alias("found"))
