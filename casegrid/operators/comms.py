@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegrid.session import with_scalars
+
 
 
 def _r(c: Column | str) -> Column:
@@ -74,7 +76,7 @@ def unusual_contacts(comms: DataFrame, least: int = 5, limit: float = 2.0) -> Da
     rows = contact_interactions(comms, least)
     stats = rows.agg(F.avg("total").alias("mean"), F.stddev_pop("total").alias("std"))
     z = F.try_divide(F.col("total") - F.col("mean"), F.col("std"))
-    rows = rows.crossJoin(F.broadcast(stats)).withColumn("z", z).where(F.abs("z") > limit)
+    rows = with_scalars(rows, stats).withColumn("z", z).where(F.abs("z") > limit)
     return rows.select("contact", "total", _r("z").alias("z"), F.when(F.col("z") > 0, "High Activity").otherwise("Low Activity").alias("label"))
 
 
@@ -91,7 +93,7 @@ def daily_anomalies(comms: DataFrame, limit: float = 2.0) -> DataFrame:
     days = comms.where("timestamp is not null").groupBy(F.to_date("timestamp").alias("day")).agg(
         F.count("*").alias("n"), F.countDistinct("sender").alias("senders"), F.count_if((h >= 23) | (h <= 5)).alias("late_night"))
     stats = days.agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"))
-    rows = days.crossJoin(F.broadcast(stats))
+    rows = with_scalars(days, stats)
     return rows.select(
         "day", "n", "senders", (F.weekday("day") >= 5).alias("is_weekend"), "late_night", _r(F.try_divide(F.col("n") - F.col("mean"), F.col("std"))).alias("deviation"),
         F.coalesce(F.col("n") > F.col("mean") + limit * F.col("std"), F.lit(False)).alias("spike"))
@@ -163,7 +165,7 @@ def spikes(comms: DataFrame, unit: str = "hour", k: float = 2.0) -> DataFrame:
     """Buckets whose volume exceeds mean + k sample standard deviations of the non-empty buckets; one bucket gives none."""
     rows = comms.where("timestamp is not null").groupBy(F.date_trunc(unit, "timestamp").alias("bucket")).agg(F.count("*").alias("volume"))
     stats = rows.agg(F.avg("volume").alias("mean"), F.stddev_samp("volume").alias("std"))
-    rows = rows.crossJoin(F.broadcast(stats)).where(F.col("volume") > F.col("mean") + k * F.col("std"))
+    rows = with_scalars(rows, stats).where(F.col("volume") > F.col("mean") + k * F.col("std"))
     return rows.select("bucket", "volume", _r(F.try_divide(F.col("volume") - F.col("mean"), F.col("std"))).alias("z"))
 
 
@@ -216,7 +218,7 @@ def temporal_evolution(comms: DataFrame, windows: int = 10, inclusive_end: bool
     rows = comms.where("timestamp is not null and length(sender) > 0 and length(receiver) > 0")
     span = rows.agg(F.min(F.unix_micros("timestamp")).alias("lo"), F.max(F.unix_micros("timestamp")).alias("hi"))
     at = F.floor((F.unix_micros("timestamp") - F.col("lo")) * windows / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))
-    rows = rows.crossJoin(F.broadcast(span)).withColumn("w", at.cast("int"))
+    rows = with_scalars(rows, span).withColumn("w", at.cast("int"))
     rows = rows.withColumn("w", F.least("w", F.lit(windows - 1))) if inclusive_end else rows.where(F.col("w") < windows)
     edges = rows.groupBy("w").agg(F.count("*").alias("n"), F.countDistinct("sender", "receiver").alias("edges"))
     nodes = ends(rows).groupBy("w").agg(F.countDistinct("contact").alias("nodes"))
@@ -229,7 +231,7 @@ def volume_histogram(comms: DataFrame, bins: int = 50) -> DataFrame:
     rows = comms.where("timestamp is not null").groupBy(F.date_trunc("hour", "timestamp").alias("h")).agg(F.count("*").alias("v"))
     span = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     at = F.least(F.floor((F.col("v") - F.col("lo")) * bins / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))), F.lit(bins - 1))
-    return rows.crossJoin(F.broadcast(span)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return with_scalars(rows, span).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 # flows and replies

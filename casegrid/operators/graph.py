@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casegrid.session import cut
+from casegrid.session import cut, with_scalars
 
 #: Edges an adjacency may have to be sent to every task (about 16 bytes each).
 MAX_BROADCAST_EDGES = 2_000_000
@@ -37,7 +37,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
     rows = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     n = rows.agg(F.count("*").alias("n"))
-    rows = rows.crossJoin(F.broadcast(n)).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
+    rows = with_scalars(rows, n).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
     return rows.select("id", "in_degree", "out_degree", "degree", F.when(F.col("n") > 1, F.round(F.col("degree") / (F.col("n") - 1), 6)).otherwise(0.0).alias("centrality"))
 
 
@@ -54,7 +54,7 @@ def scaled_in_degree(edges: DataFrame) -> DataFrame:
     rows = degrees(edges)
     span = rows.agg(F.min("in_degree").alias("lo"), F.max("in_degree").alias("hi"))
     size = F.when(F.col("hi") > F.col("lo"), (F.col("in_degree") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 70 + 10).otherwise(20.0)
-    return rows.crossJoin(F.broadcast(span)).select("id", "in_degree", F.round(size, 6).alias("size"))
+    return with_scalars(rows, span).select("id", "in_degree", F.round(size, 6).alias("size"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def structure(edges: DataFrame) -> DataFrame:
     sizes = components(edges).groupBy("component").agg(F.count("*").alias("s")).agg(F.count("*").alias("components"), F.max("s").alias("largest"))
     clus = clustering(edges).agg(F.round(F.avg("clustering"), 6).alias("clustering"))
     deg = degrees(edges).agg(F.round(F.avg("degree"), 6).alias("mean_degree"), F.max("degree").alias("max_degree"))
-    row = n.crossJoin(m).crossJoin(sizes).crossJoin(clus).crossJoin(deg)  # one row each
+    row = with_scalars(with_scalars(with_scalars(with_scalars(n, m), sizes), clus), deg)
     return row.withColumn("density", F.when(F.col("nodes") > 1, F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 6)).otherwise(0.0))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegrid.functions.phones import digits
+from casegrid.session import with_scalars
 
 
 
@@ -193,4 +194,4 @@ def sample_rows(rows: DataFrame, by: str, key: str, n: int, seed: int = 1) -> Da
 def latest_days(rows: DataFrame, at: str, days: int) -> DataFrame:
     """Rows of the last days before the newest row, rather than before now."""
     last = rows.agg(F.max(at).alias("__last"))
-    return rows.crossJoin(F.broadcast(last)).where(F.col(at) >= F.col("__last") - F.make_dt_interval(F.lit(days))).drop("__last")
+    return with_scalars(rows, last).where(F.col(at) >= F.col("__last") - F.make_dt_interval(F.lit(days))).drop("__last")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegrid.session import with_scalars
+
 
 # English stop words left out of the keyword index.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
@@ -53,7 +55,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     hit = p.join(q.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hit.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    rows = with_scalars(hit.join(df, "term").join(q, "term"), stats)  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     s = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(s), 6).alias("score")).where("score > 0")

@@ -48,3 +48,8 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def with_scalars(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Rows with the columns of a one-row DataFrame added as scalar subqueries, which are computed once."""
+    return rows.withColumns({c: one.select(c).scalar() for c in one.columns})
