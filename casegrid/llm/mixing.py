@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegrid.llm import tokens
-from casegrid.session import cut, table
+from casegrid.session import cut, table, with_scalars
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ def budgets(rows: DataFrame, targets: DataFrame, settings: Settings) -> DataFram
     have = rows.groupBy("source").agg(F.sum("tokens").alias("available"))
     both = want.join(have, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     live = both.where("available > 0").agg(F.sum("target_share").alias("live"), F.min(F.col("available") * F.col("max_repeats") / F.col("target_share")).alias("most"))
-    both = both.crossJoin(F.broadcast(live))  # one row
+    both = with_scalars(both, live)  # one row
     total = F.lit(settings.total) if settings.total else F.floor(F.col("most") * F.col("live"))
     wanted = F.when(F.col("available") > 0, F.floor(F.least(F.col("target_share") / F.col("live") * total, F.col("available") * F.col("max_repeats")))).otherwise(0)
     both = both.withColumn("wanted", wanted.cast("long")).withColumn("epochs", F.when(F.col("available") > 0, F.floor(F.col("wanted") / F.col("available"))).otherwise(0).cast("int"))
@@ -96,4 +96,4 @@ def p9_shares(spark: SparkSession, sf_dir: str, settings: Settings = Settings())
     targets = table(spark, sf_dir, "mix_targets").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.sum("target_share").alias("target_share"))
     both = cut(targets.join(got, "source", "left").fillna(0, ["tokens", "repeats"]))
     total = both.agg(F.sum("tokens").alias("total"))
-    return both.crossJoin(F.broadcast(total)).select("source", "target_share", "tokens", "repeats", F.round(F.try_divide("tokens", "total"), 6).alias("actual_share"))
+    return with_scalars(both, total).select("source", "target_share", "tokens", "repeats", F.round(F.try_divide("tokens", "total"), 6).alias("actual_share"))
