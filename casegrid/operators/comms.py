@@ -42,6 +42,21 @@ def ends(comms: DataFrame) -> DataFrame:
     return rows.select("*", "end.role", "end.contact").drop("end").where(F.length("contact") > 0)
 
 
+def previous(rows: DataFrame, keys: list[str], values: list[str], order: list[str], at: str = "timestamp", unit: str = "hour") -> DataFrame:
+    """Add `before`, a struct of values of the row before, by key and order (`at` first); null for a key's first row.
+
+    A key may hold a large part of all rows: the window runs over (key, hour), and the first row of an hour takes the last one of the
+    key's hour before, from one row per key and hour. Rows with a null `at` must have been dropped.
+    """
+    rows = rows.withColumn("__b", F.date_trunc(unit, at))
+    own = F.struct(*values)
+    last = rows.groupBy(*keys, "__b").agg(F.max_by(own, F.struct(*order)).alias("__last"))
+    carried = last.select(*keys, "__b", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__b")).alias("__carried"))
+    inside = F.lag(own).over(Window.partitionBy(*keys, "__b").orderBy(*order))
+    rows = rows.withColumn("__inside", inside).join(carried, [*keys, "__b"])
+    return rows.withColumn("before", F.coalesce("__inside", "__carried")).drop("__b", "__inside", "__carried")
+
+
 # counts and summaries
 
 
@@ -193,10 +208,9 @@ def anomaly_summary(comms: DataFrame) -> DataFrame:
 
 def gaps_between(comms: DataFrame, least_hours: float = 24.0) -> DataFrame:
     """Gaps of more than least_hours between successive communications of one sender."""
-    w = Window.partitionBy("sender").orderBy("timestamp", "id")
-    rows = comms.where("timestamp is not null and length(sender) > 0").withColumn("before", F.lag("timestamp").over(w))
-    hours = (F.unix_micros("timestamp") - F.unix_micros("before")) / 3.6e9
-    return rows.withColumn("gap_hours", hours).where(F.col("gap_hours") > least_hours).select("sender", F.col("before").alias("from_at"), F.col("timestamp").alias("to_at"), _r("gap_hours").alias("gap_hours"))
+    rows = previous(comms.where("timestamp is not null and length(sender) > 0"), ["sender"], ["timestamp"], ["timestamp", "id"])
+    hours = (F.unix_micros("timestamp") - F.unix_micros("before.timestamp")) / 3.6e9
+    return rows.withColumn("gap_hours", hours).where(F.col("gap_hours") > least_hours).select("sender", F.col("before.timestamp").alias("from_at"), F.col("timestamp").alias("to_at"), _r("gap_hours").alias("gap_hours"))
 
 
 def gap_histogram(comms: DataFrame, most_hours: int = 168) -> DataFrame:
@@ -255,10 +269,10 @@ def sankey_flows(comms: DataFrame, contacts: int = 15, most: int = 100) -> DataF
 def replies(comms: DataFrame, most_minutes: int = 1440) -> DataFrame:
     """Replies: rows whose sender received the pair's previous row, with the minutes between (above 0, below most_minutes)."""
     rows = comms.where("timestamp is not null and length(sender) > 0 and length(receiver) > 0")
-    w = Window.partitionBy(F.least("sender", "receiver"), F.greatest("sender", "receiver")).orderBy("timestamp", "id")
-    rows = rows.withColumns({"to": F.lag("receiver").over(w), "at": F.lag("timestamp").over(w)})
-    minutes = (F.unix_micros("timestamp") - F.unix_micros("at")) / 6e7
-    rows = rows.where(F.col("to") == F.col("sender")).withColumn("minutes", minutes)
+    rows = rows.withColumns({"__x": F.least("sender", "receiver"), "__y": F.greatest("sender", "receiver")})
+    rows = previous(rows, ["__x", "__y"], ["receiver", "timestamp"], ["timestamp", "id"])
+    minutes = (F.unix_micros("timestamp") - F.unix_micros("before.timestamp")) / 6e7
+    rows = rows.where(F.col("before.receiver") == F.col("sender")).withColumn("minutes", minutes)
     return rows.where((F.col("minutes") > 0) & (F.col("minutes") < most_minutes)).select("id", "sender", "receiver", _r("minutes").alias("minutes"))
 
 

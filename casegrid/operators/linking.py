@@ -118,13 +118,12 @@ def places_from_events(events: DataFrame) -> DataFrame:
 
 def movement(places: DataFrame) -> DataFrame:
     """Per person: points, kilometres, mean and top speed (km/h, where time passes), days. At least two points."""
-    from pyspark.sql import Window
+    from casegrid.operators.comms import previous
 
-    w = Window.partitionBy("who").orderBy("timestamp", "id")
-    rows = places.where("latitude is not null and longitude is not null and timestamp is not null")
-    rows = rows.withColumns({"la": F.lag("latitude").over(w), "lo": F.lag("longitude").over(w), "at": F.lag("timestamp").over(w)})
-    km = haversine(F.col("la"), F.col("lo"), F.col("latitude"), F.col("longitude")) / 1000
-    hours = (F.unix_micros("timestamp") - F.unix_micros("at")) / 3.6e9
+    rows = places.where("latitude is not null and longitude is not null and timestamp is not null and who is not null")
+    rows = previous(rows, ["who"], ["latitude", "longitude", "timestamp"], ["timestamp", "id"])
+    km = haversine(F.col("before.latitude"), F.col("before.longitude"), F.col("latitude"), F.col("longitude")) / 1000
+    hours = (F.unix_micros("timestamp") - F.unix_micros("before.timestamp")) / 3.6e9
     rows = rows.withColumns({"km": km, "hours": hours}).withColumn("speed", F.when(F.col("hours") > 0, F.col("km") / F.col("hours")))
     out = rows.groupBy("who").agg(
         F.count("*").alias("points"), F.round(F.sum("km"), 4).alias("km"), F.round(F.avg("speed"), 4).alias("mean_speed"), F.round(F.max("speed"), 4).alias("top_speed"),

@@ -187,8 +187,11 @@ def sample_rows(rows: DataFrame, by: str, key: str, n: int, seed: int = 1) -> Da
     from pyspark.sql import Window
 
     h = F.xxhash64(F.lit(seed), key)
-    w = Window.partitionBy(by).orderBy(h, key)
-    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+    rows = rows.withColumns({"__h": h, "__s": F.pmod(h, F.lit(64))})
+    for keys in ([by, "__s"], [by]):  # first within parts of each group, so that no task sees a whole large one
+        w = Window.partitionBy(*keys).orderBy("__h", key)
+        rows = rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n)
+    return rows.drop("__r", "__h", "__s")
 
 
 def latest_days(rows: DataFrame, at: str, days: int) -> DataFrame:
