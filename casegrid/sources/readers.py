@@ -108,7 +108,7 @@ def category(extension: Column) -> Column:
         F.when(extension.isin("jpg", "jpeg", "png", "gif", "bmp", "webp", "heic"), "image").when(extension.isin("mp3", "wav", "ogg", "opus", "m4a", "amr"), "audio")
         .when(extension.isin("mp4", "mov", "avi", "mkv", "3gp"), "video").when(extension.isin("pdf", "doc", "docx"), "document")
         .when(extension.isin("json", "jsonl", "xml", "csv", "tsv", "txt", "log"), "text").when(extension.isin("db", "sqlite", "sqlite3"), "database")
-        .when(extension.isin("zip", "tar", "gz", "tgz", "ufdr", "7z"), "archive").otherwise("unknown")
+        .when(extension.isin("zip", "tar", "gz", "tgz", "7z"), "archive").otherwise("unknown")
     )
 
 
