@@ -7,7 +7,10 @@ inverted index; the other side looks up its position-shifted substrings; candida
 that counts a swap of neighbours as one edit. A rarer token that lies near a much more frequent one is taken as its
 misspelling; two tokens frequent in their own right (Nitin, Nitish) stay apart however near they are.
 
-A spelling with two full tokens names an entity by itself. One with an initial, a nickname or a single token is
+A spelling with two full tokens names an entity by itself. If one of them is a listed nickname, it goes to the entity of its
+case with the formal name in its place, or, of several, to the one that shares a number or e-mail. An unlisted nickname goes to
+a much more frequent name beside the same other token if they share a number or e-mail and look alike.
+One with an initial, a nickname or a single token is
 resolved to an entity of its case by its tokens together with shared numbers and e-mails, or, with an initial, if only
 one entity of the case fits. Evidence alone never links: lines are shared.
 """
@@ -245,11 +248,13 @@ def link(rows: DataFrame, nicknames: DataFrame, settings: Settings = Settings())
     near = near.join(own, ["case_id", "a"]).where(F.struct("more", "b") > F.struct(F.col("own").alias("more"), F.col("a").alias("b")))
     moved = near.groupBy("case_id", "a").agg(F.max_by("b", F.struct(-F.col("distance"), "more", "b")).alias("to"))
     full = full.join(moved.withColumnRenamed("a", "entity"), ["case_id", "entity"], "left").withColumn("entity", F.coalesce("to", "entity")).drop("to")
-    full = cut(full)
+    full = cut(full.withColumn("key", F.col("entity")))
+    formal_of = formal_entities(full, formal, settings)
+    full = cut(full.join(formal_of, ["case_id", "entity"], "left").withColumn("entity", F.coalesce("to", "entity")).drop("to"))
 
     # open spellings: nicknames and single tokens need a shared number or e-mail, initials one fitting entity
     done = full.where("entity is not null and kind = 'person'")
-    words = done.select("case_id", "entity", "facts", F.explode(F.split(F.expr("substring(entity, 3)"), " ")).alias("token"))
+    words = done.select("case_id", "entity", "facts", F.explode(F.split(F.expr("substring(key, 3)"), " ")).alias("token"))
     open_ = full.where("entity is null and kind = 'person'").select("case_id", "name", "initials", "facts", F.element_at("tokens", 1).alias("token"))
     ways = open_.unionByName(open_.join(formal, "token").withColumn("token", F.col("formal")).drop("formal"))
     by_fact = words.select("case_id", "entity", "token", F.explode("facts").alias("fact")).distinct()
@@ -259,7 +264,7 @@ def link(rows: DataFrame, nicknames: DataFrame, settings: Settings = Settings())
     loose = proof.withColumn("head", F.substring("token", 1, 2)).drop("token").join(by_fact.withColumn("head", F.substring("token", 1, 2)), ["case_id", "fact", "head"])
     loose = loose.select("case_id", "name", "entity", F.lit(2).alias("w"))
     fits = ways.where(F.size("initials") > 0).select("case_id", "name", "token", F.explode("initials").alias("initial"))
-    other = done.select("case_id", "entity", F.split(F.expr("substring(entity, 3)"), " ").alias("t")).distinct()
+    other = done.select("case_id", "entity", F.split(F.expr("substring(key, 3)"), " ").alias("t")).distinct()
     other = other.select("case_id", "entity", F.explode(F.array(
         F.struct(F.get("t", F.lit(0)).alias("token"), F.substring(F.get("t", F.lit(1)), 1, 1).alias("initial")),
         F.struct(F.get("t", F.lit(1)).alias("token"), F.substring(F.get("t", F.lit(0)), 1, 1).alias("initial")))).alias("k")).select("case_id", "entity", "k.*")
@@ -274,6 +279,44 @@ def link(rows: DataFrame, nicknames: DataFrame, settings: Settings = Settings())
     return rest.select("case_id", "name", F.coalesce("entity", lone).alias("entity"))
 
 
+def formal_entities(full: DataFrame, formal: DataFrame, settings: Settings) -> DataFrame:
+    """(case_id, entity, to): persons written with a nickname and another token, and the entity of the case they belong to.
+
+    A listed nickname leads to the key with its formal name, if the case has that entity or another nickname of it. Where several
+    formal names fit, a shared number or e-mail decides; else it stays open. An unlisted one leads to a token `ratio` times more
+    frequent over all cases, beside the same other token, that shares a number or e-mail with it and begins with the same letter
+    or has two letters in a row in common.
+    """
+    keys = full.where("kind = 'person' and entity is not null")
+    keys = keys.groupBy("case_id", "entity").agg(F.array_distinct(F.flatten(F.collect_list("facts"))).alias("facts"))
+    keys = keys.withColumn("t", F.split(F.expr("substring(entity, 3)"), " ")).where("size(t) = 2")
+    sides = F.array(*(F.struct(F.get("t", F.lit(i)).alias("token"), F.get("t", F.lit(1 - i)).alias("other")) for i in (0, 1)))
+    own = cut(keys.select("case_id", "entity", "facts", F.explode(sides).alias("s")).select("case_id", "entity", "facts", "s.*"))
+
+    made = F.concat(F.lit("p:"), F.array_join(F.array_sort(F.array("formal", "other")), " "))
+    asked = own.join(formal, "token").where("formal <> token").select("case_id", "entity", "facts", made.alias("to"))
+    there = keys.select("case_id", F.col("entity").alias("to"), F.col("facts").alias("had"))
+    siblings = asked.groupBy("case_id", "to").agg(F.countDistinct("entity").alias("n"))
+    listed = asked.join(there, ["case_id", "to"], "left").join(siblings, ["case_id", "to"]).where("had is not null or n > 1")
+    listed = listed.select("case_id", "entity", "to", F.coalesce(F.size(F.array_intersect("facts", "had")), F.lit(0)).alias("shared"))
+    ways = listed.groupBy("case_id", "entity").agg(F.count(F.lit(1)).alias("ways"), F.max("shared").alias("most"))
+    listed = listed.join(ways, ["case_id", "entity"]).where("ways = 1 or (most > 0 and shared = most)")
+    listed = listed.select("case_id", "entity", "to", F.lit(True).alias("listed"), "shared")
+
+    counts = own.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    seen = own.join(counts, "token").select("case_id", "entity", "token", "other", "n", F.explode("facts").alias("fact"))
+    more = seen.select("case_id", "other", "fact", F.col("entity").alias("to"), F.col("token").alias("right"), F.col("n").alias("more"))
+    pairs = seen.join(more, ["case_id", "other", "fact"]).where((F.col("token") != F.col("right")) & (F.col("more") >= settings.ratio * F.col("n")))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, 2))
+    like = (F.substring("token", 1, 1) == F.substring("right", 1, 1)) | F.arrays_overlap(grams(F.col("token")), grams(F.col("right")))
+    pairs = pairs.groupBy("case_id", "entity", "to", "token", "right").agg(F.count(F.lit(1)).alias("shared")).where(like)
+    both = listed.unionByName(pairs.select("case_id", "entity", "to", F.lit(False).alias("listed"), "shared"))
+    best = cut(both.groupBy("case_id", "entity").agg(F.max_by("to", F.struct("listed", "shared", "to")).alias("to")))
+    # an unlisted form of a listed nickname goes on to the formal name
+    on = best.select("case_id", F.col("entity").alias("to"), F.col("to").alias("next"))
+    return best.join(on, ["case_id", "to"], "left").select("case_id", "entity", F.coalesce("next", "to").alias("to"))
+
+
 def _token_counts(full: DataFrame) -> DataFrame:
     """(entity, common): whether all tokens of an entity's key occur in several entities, each case counted by itself."""
     keys = full.where("entity is not null").select("case_id", "entity").distinct()

@@ -61,5 +61,18 @@ def test_variants_are_linked_and_like_names_are_not(spark):
     assert "Me" not in got
 
 
+def test_nicknames_beside_a_surname(spark):
+    rows = [(f"x{i}", f"{n} {w}", None, None) for i in range(6) for n in ("Thomas", "Nitin", "Nitish") for w in ("Rao", "Carvalho")]
+    rows += [("c", n, None, None) for n in ("Liz Kulkarni", "Elizabeth Kulkarni", "Liz Mehta", "Sam Sen", "Samuel Sen", "Samantha Sen")]
+    rows += [("c", n, "11", None) for n in ("Sam Roy", "Samuel Roy")] + [("c", "Samantha Roy", None, None)]
+    rows += [("c", n, "22", None) for n in ("Tom Carvalho", "Carvalho, Thomas", "Nitin Carvalho", "Nitish Carvalho", "Tom")]
+    got = link(spark, rows, [("Elizabeth", "Liz"), ("Samuel", "Sam"), ("Samantha", "Sam")])
+    assert got["Liz Kulkarni"] == got["Elizabeth Kulkarni"] == "p:elizabeth kulkarni" and got["Liz Mehta"] == "p:liz mehta"
+    assert len({got[f"{n} Sen"] for n in ("Sam", "Samuel", "Samantha")}) == 3
+    assert got["Sam Roy"] == got["Samuel Roy"] != got["Samantha Roy"]
+    assert got["Tom Carvalho"] == got["Carvalho, Thomas"] == got["Tom"] == "p:carvalho thomas"
+    assert len({got[f"{n} Carvalho"] for n in ("Nitin", "Nitish", "Thomas")}) == 3
+
+
 def test_empty(spark):
     assert link(spark, []) == {}
