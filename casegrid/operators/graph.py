@@ -354,11 +354,6 @@ def greedy_modularity(pairs: list[tuple[str, str]]) -> list[set[str]]:
         for z in links[x]:
             a, b = min(x, z), max(x, z)
             heapq.heappush(heap, (-gain(a, b), a, b))
-        for z in links[x]:
-            for q in links[z]:
-                if q != x:
-                    a, b = min(z, q), max(z, q)
-                    heapq.heappush(heap, (-gain(a, b), a, b))
     return sorted(members.values(), key=lambda s: (-len(s), min(s)))
 
 

@@ -12,25 +12,31 @@ def _g(operator, *args, least=1, **kw):
     return lambda spark, d: operator(G.edges_of(from_events(table(spark, d, "events")), least), *args, **kw)
 
 
+# Over all edges; those with `least` are held against an SQL twin over the same edges, and have a variant `_all_` beside them.
 QUERIES = {
     "g1_edges": _g(lambda e: e, least=2),
+    "g1_all_edges": _g(lambda e: e),
     "g2_degree": _g(G.degrees),
-    "g3_path_measures": _g(G.path_measures, least=3),
+    "g3_path_measures": _g(G.path_measures),
     "g5_pagerank": _g(G.pagerank),
     "g6_eigenvector": _g(G.eigenvector),
-    "g7_communities": _g(G.communities, least=4),
-    "g7_label_propagation": _g(G.label_propagation, least=4),
+    "g7_communities": _g(G.communities),
+    "g7_label_propagation": _g(G.label_propagation),
     "g8_ego_network": _g(G.ego_network, "7", 1),
-    "g9_bridges": _g(G.bridges, least=3),
-    "g10_cliques": _g(G.cliques, least=4),
-    "g11_shortest_path": _g(G.shortest_path, "1", "99", least=3),
-    "g12_structure": _g(G.structure, least=3),
+    "g9_bridges": _g(G.bridges),
+    "g10_cliques": _g(G.cliques),
+    "g11_shortest_path": _g(G.shortest_path, "1", "99"),
+    "g12_structure": _g(G.structure),
     "g12_components": _g(G.components, least=5),
+    "g12_all_components": _g(G.components),
     "g12_clustering": _g(G.clustering, least=3),
+    "g12_all_clustering": _g(G.clustering),
     "g13_hierarchy": _g(G.hierarchy),
     "g15_component_sizes": _g(G.component_sizes, least=5),
+    "g15_all_component_sizes": _g(G.component_sizes),
     "g17_hops": _g(G.hops, "7", 2, least=3),
-    "g19_centralities": _g(G.centralities, least=3),
+    "g17_all_hops": _g(G.hops, "7", 2),
+    "g19_centralities": _g(G.centralities),
     "w8_rank": _g(lambda e: G.rank_by(G.degrees(e).select("id", "degree"), "degree")),
     "w14_scaled_in_degree": _g(G.scaled_in_degree),
 }

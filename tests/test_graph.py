@@ -1,6 +1,9 @@
 import pytest
 
 from casegrid.operators import graph as G
+from casegrid.operators.comms import from_events
+from casegrid.plans.graph_queries import QUERIES
+from casegrid.session import table
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +65,15 @@ def test_empty(spark):
     assert G.components(none).count() == 0
     assert G.pagerank(none).count() == 0
     assert G.triangles(none).count() == 0
+
+
+def test_queries_take_all_edges(spark, data):
+    all_edges = G.edges_of(from_events(table(spark, data, "events"))).cache()
+    assert all_edges.where("weight = 1").count() > 0
+    assert QUERIES["g12_structure"](spark, data).first().edges == QUERIES["g1_all_edges"](spark, data).count() == all_edges.count()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    pairs = sorted((r.a, r.b) for r in G.undirected(all_edges).collect())
+    found = sorted((r.number, r.id) for r in QUERIES["g10_cliques"](spark, data).collect())
+    assert found == [(i, v) for i, c in enumerate(G.maximal_cliques(pairs)) for v in c]
+    assert rows(QUERIES["g3_path_measures"](spark, data)) == rows(G.path_measures(all_edges))
+    assert rows(QUERIES["g12_all_clustering"](spark, data)) == rows(G.clustering(all_edges))
