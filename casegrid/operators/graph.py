@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections import deque
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -133,13 +134,13 @@ def ego_network(edges: DataFrame, root: str, radius: int = 1) -> DataFrame:
     return edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst", "weight")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 6) -> DataFrame:
-    """One least path (vertices in order, the least by name) from source to target of at most `most` edges; empty if none."""
+def shortest_path(edges: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
+    """One least path (vertices in order, the least by name) from source to target, of at most `most` edges if given; empty if none."""
     links = edges.where("src <> dst").select("src", "dst").distinct()
     front = vertices(edges).where(F.col("id") == source).select("id", F.array("id").alias("path"))
     seen = front.select("id")
     found = front.where(F.col("id") == target)
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         step = front.select(F.col("id").alias("src"), "path").join(links, "src").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         front = cut(step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         hit = front.where(F.col("id") == target)
@@ -278,12 +279,12 @@ def path_measures(edges: DataFrame) -> DataFrame:
     return rows.select("id", F.round(F.col("b") * scale, 6).alias("betweenness"), F.round(close, 6).alias("closeness"))
 
 
-def distances_by_join(edges: DataFrame, sources: DataFrame, most: int = 6) -> DataFrame:
-    """(source, id, hop) for all given sources together, level by level; the way for graphs too large for one task."""
+def distances_by_join(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, id, hop) for all given sources together, level by level, up to `most` if given; the way for graphs too large for one task."""
     links = cut(edges.where("src <> dst").select("src", "dst").distinct())
     seen = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hop")))
     front = seen
-    for k in range(1, most + 1):
+    for k in count(1) if most is None else range(1, most + 1):
         step = front.select("source", F.col("id").alias("src")).join(links, "src").select("source", F.col("dst").alias("id")).distinct()
         front = cut(step.join(seen, ["source", "id"], "left_anti").withColumn("hop", F.lit(k)))
         if not front.limit(1).count():

@@ -77,3 +77,10 @@ def test_queries_take_all_edges(spark, data):
     assert found == [(i, v) for i, c in enumerate(G.maximal_cliques(pairs)) for v in c]
     assert rows(QUERIES["g3_path_measures"](spark, data)) == rows(G.path_measures(all_edges))
     assert rows(QUERIES["g12_all_clustering"](spark, data)) == rows(G.clustering(all_edges))
+
+
+def test_paths_longer_than_six(spark):
+    line = spark.createDataFrame([(str(i), str(i + 1), 1) for i in range(8)], "src string, dst string, weight long")
+    assert G.shortest_path(line, "0", "8").first().length == 8
+    far = {r.id: r.hop for r in G.distances_by_join(line, spark.createDataFrame([("0",)], "id string")).collect()}
+    assert far == {str(i): i for i in range(9)}
