@@ -24,6 +24,35 @@ def test_pack_keeps_limits_and_places_all():
     assert demand[:, 0].sum() / (512 * len(sums)) > 0.95
 
 
+def test_limits_on_loss_and_segments_bind():
+    rng = np.random.default_rng(3)
+    n = rng.integers(20, 400, 1500)
+    loss = np.where(rng.random(1500) < 0.4, n // 2, n)
+    demand = np.column_stack([n, np.ones(1500), loss]).astype(float)
+
+    def full(limits):
+        place = P.pack(demand, limits)
+        return np.array([demand[place == k].sum(axis=0) for k in range(place.max() + 1)]) / limits
+
+    tight, loose = full(np.array([2048.0, 32.0, 1700.0])), full(np.array([2048.0, 32.0, 2048.0]))
+    assert (tight <= 1).all() and (tight[:-1, 2] > 0.95).mean() > 0.9 and tight[:-1, 0].mean() > 0.9
+    assert len(tight) >= len(loose)
+    few = full(np.array([2048.0, 4.0, 2048.0]))
+    assert (few[:-1, 1] == 1).mean() > 0.9
+
+
+def test_second_speaker_far_behind():
+    path = tokens.default_path()
+    text = "A: " + "word " * 800 + "\nB: yes\n"
+    parts = P.runs(text, path)
+    assert [bears for _, bears in parts] == [False, True] and sum(n for n, _ in parts) == tokens.count(text, path)
+
+
+def test_whole_items_over_the_loss_limit_stay_whole():
+    assert P.pieces([(500, True)], 512, 400) == [(500, 500)]
+    assert all(loss <= 400 for _, loss in P.pieces([(900, True)], 512, 400))
+
+
 def test_pieces_lose_nothing():
     parts = [(700, True), (30, False), (600, True)]
     got = P.pieces(parts, 512)
@@ -39,7 +68,7 @@ def test_containers(spark):
     for name, capacity in (("s", 64), ("l", 256)):
         own = rows[rows.spec_name == name]
         assert own.groupby("container_id").tokens.sum().max() <= capacity
-        assert own.groupby("container_id").size().max() <= capacity // 16
+        assert own.groupby("container_id").size().max() <= capacity // 64
         whole = own.groupby("doc_id").tokens.sum()
         assert whole[900] == tokens.count("word " * 1500, tokens.default_path())
         assert (own.groupby("doc_id").size()[whole <= capacity] == 1).all()
