@@ -101,6 +101,8 @@ def pack(demand: np.ndarray, limits: np.ndarray, balance: float = 1.0) -> np.nda
     classes, of, count = np.unique(demand, axis=0, return_inverse=True, return_counts=True)
     need, left = classes / limits, count.copy()
     members = np.split(np.argsort(of.ravel(), kind="stable"), np.cumsum(count)[:-1])
+    total = np.sort(demand[:, [0, -1]].sum(axis=0) / limits[[0, -1]])
+    balance = balance * float(total[0] / max(total[1], 1e-12)) ** 2  # where one limit hardly matters, its gap doesn't either
     number, live = 0, np.arange(len(classes))
     while len(live):
         room, fits = np.ones(demand.shape[1]), live
