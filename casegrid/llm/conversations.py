@@ -1,17 +1,23 @@
 """Conversations rebuilt from message rows (problem 7).
 
-Messages of one case, app and pair of numbers are split where more than the allowed time passes. Each message replies
-to the latest earlier one of the other side and follows the latest earlier one of its own side; explicit reply
-references can be given too. This graph is sorted topologically by Kahn's algorithm, ties by instant and id; nodes
-left over lie on cycles, which makes the conversation broken. Roles and completeness are checked along the order.
+Messages of one case, app and pair of numbers are split where more than the allowed time passes. The messages of such a run form
+a reply graph: each one follows those of the instant before its own, and explicit reply references, where there
+are any, add edges from the message replied to. The graph is sorted topologically by Kahn's algorithm, ties by instant and id;
+nodes left over lie on cycles or behind them, which makes the conversation broken. Along the order the roles are checked for
+alternation: a conversation in which the speaker of non-blank texts never changes is unanswered. A text message without text makes
+it incomplete.
 
 Distribution: rows are range partitioned by (case, app, pair, instant, id), so that a pair with a third of all
-rows is spread over many tasks. A task handles its runs whole; only the first and the last run of a task can go on in
-another one. Of those it hands on one row of sums, and these few rows are joined up per pair.
+rows is spread over many tasks. A task streams through its range and holds one run at a time; only its first and last run can go on in
+another task. Of those it hands on one row of sums, and these few rows are joined up per pair. A reference into another
+task's range is resolved before, by a join on the id; one that leads forward in time beyond the range is handed on with
+the sums, and the merge decides whether its target lies in the same run: then the replying message and all of later instants are left over, as
+Kahn's algorithm has it on the whole run.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -26,10 +32,10 @@ from casegrid.session import cut, table
 
 _KEYS = ["case_id", "app", "party_a", "party_b"]
 _SUMS = (
-    "case_id string, app string, party_a string, party_b string, first_msg_id string, start_ms long, end_ms long, "
-    "n_messages long, n_a long, n_b long, n_bad long, n_cyclic long, n_turns long, first_role string, last_role string, open boolean"
+    "case_id string, app string, party_a string, party_b string, first_msg_id string, start_ms long, end_ms long, n_messages long, "
+    "n_bad long, n_cyclic long, n_turns long, first_role string, last_role string, open boolean, ahead array<struct<behind:long,ms:long>>"
 )
-_COLUMNS = [c.split()[0] for c in _SUMS.split(", ")]
+_COLUMNS = [c.split()[0] for c in _SUMS.split(", ")[:-1]] + ["ahead"]
 
 
 def kahn(n: int, edges: list[tuple[int, int]], rank: list) -> tuple[list[int], list[int]]:
@@ -53,99 +59,157 @@ def kahn(n: int, edges: list[tuple[int, int]], rank: list) -> tuple[list[int], l
     return order, [i for i in range(n) if waits[i]] if len(order) < n else []
 
 
-def reply_edges(roles: list[str], ids: list[str], reply_to: list | None) -> list[tuple[int, int]]:
-    """Edges from each message to those that follow it, rows being in order of time; references beyond the rows are void."""
-    edges, last = [], {}
-    place = {x: i for i, x in enumerate(ids)} if reply_to else {}
-    for i, role in enumerate(roles):
-        for other, j in last.items():
-            edges.append((j, i))
-        if reply_to and reply_to[i] in place:
-            edges.append((place[reply_to[i]], i))
-        last[role] = i
-    return edges
+def reply_graph(ids: list[str], ms: list[int], reply_to: list | None) -> tuple[list[tuple[int, int]], list]:
+    """(edges, ranks) of messages in order of their instants, those of one instant in any order.
 
-
-def order_run(rows: pd.DataFrame) -> tuple[list[int], list[int]]:
-    """Kahn order of one run and its leftover; rows hold role, msg_id, utc_ms and perhaps reply_to."""
-    ids, at = rows["msg_id"].tolist(), rows["utc_ms"].tolist()
-    refs = rows["reply_to"].tolist() if "reply_to" in rows else None
-    return kahn(len(ids), reply_edges(rows["role"].tolist(), ids, refs), list(zip(at, ids)))
+    A message follows all of the instant before: several of them through a node of their own behind the messages'. References beyond
+    the rows are void here.
+    """
+    edges, ranks, before, here = [], list(zip(ms, ids)), [], []
+    for i in range(len(ids)):
+        if i and ms[i] != ms[i - 1]:
+            before = here
+            if len(here) > 1:
+                ranks.append((ms[i - 1], chr(0x10FFFF)))
+                edges += [(j, len(ranks) - 1) for j in here]
+                before = [len(ranks) - 1]
+            here = []
+        here.append(i)
+        if before:
+            edges.append((before[0], i))
+    if reply_to:
+        place = {x: i for i, x in enumerate(ids)}
+        edges += [(place[r], i) for i, r in enumerate(reply_to) if r in place]
+    return edges, ranks
+
+
+def order_run(ids: list[str], ms: list[int], reply_to: list | None) -> tuple[list[int], list[int]]:
+    """Kahn's order of the messages of one run, and those left over."""
+    edges, ranks = reply_graph(ids, ms, reply_to)
+    order, left = kahn(len(ranks), edges, ranks)
+    n = len(ids)
+    return [i for i in order if i < n], [i for i in left if i < n]
+
+
+def turns(roles: list[str]) -> int:
+    """Number of turns in a sequence of speakers; 0 for none."""
+    return sum(a != b for a, b in zip(roles, roles[1:])) + 1 if roles else 0
+
+
+def piece_sums(ids: list[str], ms: list[int], roles: list[str], spoken: list[bool], bad: list[bool], reply_to: list | None, reply_ms: list | None) -> tuple:
+    """What one run, or the part of it in one task, hands on: first id, messages, incomplete ones, leftover, turns of those
+    who speak, first and last speaker, and references ahead as (messages from the replying one on, instant of the target)."""
+    order, left = order_run(ids, ms, reply_to)
+    said = [roles[i] for i in order if spoken[i]]
+    ahead = []
+    if reply_ms:
+        end = ms[-1]
+        for i in order:
+            if reply_ms[i] is not None and reply_ms[i] > end and (not ahead or reply_ms[i] < ahead[-1]["ms"]):
+                ahead.append({"behind": 1 + len(ids) - bisect.bisect_right(ms, ms[i]), "ms": int(reply_ms[i])})
+    first = ids[order[0]] if order else min(zip(ms, ids))[1]
+    return first, len(ids), sum(bad), len(left), turns(said), said[0] if said else None, said[-1] if said else None, ahead
 
 
 def _chunk(gap_ms: int):
+    def flush(held: list[pd.DataFrame], is_open: bool) -> tuple:
+        rows = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        refs = "reply_to" in rows
+        whole = lambda c: [None if pd.isna(x) else x for x in rows[c]]
+        ms = rows["utc_ms"].tolist()
+        first, n, bad, left, n_turns, a, b, ahead = piece_sums(
+            rows["msg_id"].tolist(), ms, rows["role"].tolist(), rows["spoken"].tolist(), rows["bad"].tolist(),
+            whole("reply_to") if refs else None, whole("reply_ms") if refs else None)
+        return (*(rows[c].iat[0] for c in _KEYS), first, int(ms[0]), int(ms[-1]), n, bad, left, n_turns, a, b, is_open, ahead)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = [f for f in frames if len(f)]
-        if not whole:
-            return
-        rows = pd.concat(whole, ignore_index=True)
-        group = np.zeros(len(rows), dtype=bool)
-        for c in _KEYS:
-            codes = pd.factorize(rows[c])[0]
-            group[1:] |= codes[1:] != codes[:-1]
-        ms = rows["utc_ms"].to_numpy(dtype=np.int64)
-        fresh = group.copy()
-        fresh[1:] |= np.diff(ms) > gap_ms
-        fresh[0] = True
-        bounds = np.append(np.flatnonzero(fresh), len(rows)).tolist()
-        ids, roles = rows["msg_id"].tolist(), rows["role"].tolist()
-        spoken, bad = rows["spoken"].to_numpy(dtype=bool), rows["bad"].to_numpy(dtype=bool)
-        refs = rows["reply_to"].tolist() if "reply_to" in rows else None
-        keys = [rows[c].tolist() for c in _KEYS]
-        out = []
-        for k, (p, q) in enumerate(zip(bounds, bounds[1:])):
-            order, left = kahn(q - p, reply_edges(roles[p:q], ids[p:q], refs and refs[p:q]), list(zip(ms[p:q].tolist(), ids[p:q])))
-            said = [roles[p + i] for i in order] or roles[p:q]
-            turns = 1 + sum(a != b for a, b in zip(said, said[1:]))
-            is_a = np.array([r == "a" for r in roles[p:q]])
-            first = p + (order[0] if order else 0)
-            out.append((
-                *(c[p] for c in keys), ids[first], int(ms[p]), int(ms[q - 1]), q - p, int((spoken[p:q] & is_a).sum()),
-                int((spoken[p:q] & ~is_a).sum()), int(bad[p:q].sum()), len(left), turns, said[0], said[-1], k == 0 or k == len(bounds) - 2,
-            ))
-        yield pd.DataFrame(out, columns=_COLUMNS)
+        held: list[pd.DataFrame] = []  # the run that may go on
+        began = False
+        for f in frames:
+            if not len(f):
+                continue
+            f = f.reset_index(drop=True)
+            ms = f["utc_ms"].to_numpy(dtype=np.int64)
+            fresh = np.zeros(len(f), dtype=bool)
+            for c in _KEYS:
+                v = f[c].to_numpy()
+                fresh[1:] |= v[1:] != v[:-1]
+                fresh[0] |= bool(held) and held[-1][c].iat[-1] != v[0]
+            fresh[1:] |= np.diff(ms) > gap_ms
+            fresh[0] |= bool(held) and ms[0] - held[-1]["utc_ms"].iat[-1] > gap_ms
+            out, at = [], 0
+            for b in np.flatnonzero(fresh).tolist():
+                if b > at:
+                    held.append(f.iloc[at:b])
+                if held:
+                    out.append(flush(held, not began))
+                    began = True
+                held, at = [], b
+            held.append(f.iloc[at:])
+            if out:
+                yield pd.DataFrame(out, columns=_COLUMNS)
+        if held:
+            yield pd.DataFrame([flush(held, True)], columns=_COLUMNS)
 
     return run
 
 
+def join_pieces(pieces: list[dict]) -> dict:
+    """One conversation of the pieces of a run, in order of time."""
+    one = dict(pieces[0])
+    end, left, n_turns, last = pieces[-1]["end_ms"], 0, 0, None
+    for k, p in enumerate(pieces):
+        behind = sum(q["n_messages"] for q in pieces[k + 1 :])
+        own = [a["behind"] for a in p["ahead"] if a["ms"] <= end] + ([p["n_cyclic"]] if p["n_cyclic"] else [])
+        if own and not left:
+            left = max(own) + behind
+        if p["n_turns"]:
+            n_turns += p["n_turns"] - (last is not None and p["first_role"] == last)
+            last = p["last_role"]
+    one |= {"end_ms": end, "n_messages": sum(p["n_messages"] for p in pieces), "n_bad": sum(p["n_bad"] for p in pieces), "n_cyclic": left, "n_turns": n_turns}
+    return one
+
+
 def _join_up(gap_ms: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
+        held: list[dict] = []
         for r in rows.sort_values(["start_ms", "first_msg_id"]).to_dict("records"):
-            if out and r["start_ms"] - out[-1]["end_ms"] <= gap_ms:
-                a = out[-1]
-                a["n_turns"] += r["n_turns"] - (a["last_role"] == r["first_role"])
-                for c in ("n_messages", "n_a", "n_b", "n_bad", "n_cyclic"):
-                    a[c] += r[c]
-                a["end_ms"], a["last_role"] = r["end_ms"], r["last_role"]
-            else:
-                out.append(dict(r))
-        return pd.DataFrame(out, columns=_COLUMNS)
+            if held and r["start_ms"] - held[-1]["end_ms"] > gap_ms:
+                out.append(join_pieces(held))
+                held = []
+            held.append(r)
+        return pd.DataFrame(out + [join_pieces(held)], columns=_COLUMNS)
 
     return run
 
 
 def rebuild(rows: DataFrame, gap_ms: int) -> DataFrame:
-    """All conversations, kept or not, one row each with the sums that decide.
+    """All conversations, kept or not, one row each with what decides: n_messages, n_bad, n_cyclic, n_turns.
 
     rows: case_id, app, party_a < party_b, msg_id (unique), role ('a' or 'b'), utc_ms, spoken (a non-blank text), bad (a
-    text message without text) and perhaps reply_to; rows with a null in the first seven take no part. Others are ignored.
+    text message without text) and perhaps reply_to; rows with a null in the first seven take no part. A reference to a message
+    of other keys, or to none, is void. Other columns are ignored; an empty input gives an empty result.
     """
     names = [*_KEYS, "utc_ms", "msg_id"]
-    columns = [*names, "role", "spoken", "bad", *(["reply_to"] if "reply_to" in rows.columns else [])]
-    rows = rows.select(*columns).dropna(subset=[*names, "role"])
-    parts = cut(rows.repartitionByRange(*names).sortWithinPartitions(*names).mapInPandas(_chunk(gap_ms), _SUMS))
+    refs = ["reply_to"] if "reply_to" in rows.columns else []
+    rows = rows.select(*names, "role", "spoken", "bad", *refs).dropna(subset=[*names, "role"])
+    if refs:
+        target = rows.select(*_KEYS, F.col("msg_id").alias("reply_to"), F.col("utc_ms").alias("reply_ms"))
+        rows = rows.join(target, [*_KEYS, "reply_to"], "left")
+    parts = cut(rows.repartitionByRange(*names).sortWithinPartitions(*_KEYS, "utc_ms").mapInPandas(_chunk(gap_ms), _SUMS))
     joined = parts.where("open").groupBy(*_KEYS).applyInPandas(_join_up(gap_ms), _SUMS)
-    return parts.where("not open").unionByName(joined).drop("open", "first_role", "last_role")
+    return parts.where("not open").unionByName(joined).drop("open", "first_role", "last_role", "ahead")
 
 
 def kept(conversations: DataFrame) -> DataFrame:
-    """Conversations in which both sides speak, no text message lacks its text and no reply graph has a cycle."""
-    return conversations.where("n_a > 0 and n_b > 0 and n_bad = 0 and n_cyclic = 0")
+    """Conversations in which the speaker changes at least once, no text message lacks its text and no reply graph has a cycle."""
+    return conversations.where("n_turns >= 2 and n_bad = 0 and n_cyclic = 0")
 
 
-def _blank(c: Column) -> Column:
-    return F.coalesce(F.length(F.regexp_replace(c, r"[\s\h\x{200b}\x{feff}]", "")) == 0, F.lit(True))
+def _spoken(c: Column) -> Column:
+    """Whether a text holds anything but white space and invisible characters."""
+    return F.coalesce(F.rlike(c, F.lit(r"[^\s\h\x{200b}\x{feff}]")), F.lit(False))
 
 
 def message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,12 +218,12 @@ def message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "messages").select(
         "msg_id", "case_id", "device_id", F.lower(F.trim("app")).alias("app"), "timestamp",
         with_country(F.col("sender_raw")).alias("s"), with_country(F.col("receiver_raw")).alias("r"),
-        (~_blank(F.col("text"))).alias("spoken"), (_blank(F.col("text")) & F.coalesce(F.lower(F.trim("message_type")) == "text", F.lit(False))).alias("bad"),
+        _spoken(F.col("text")).alias("spoken"), (F.lower(F.trim("message_type")) == "text").alias("is_text"),
     )
     rows = with_instant(rows.where("s is not null and r is not null and s <> r"), facts).where("utc_ms is not null")
     rows = rows.select(
         "case_id", "app", F.least("s", "r").alias("party_a"), F.greatest("s", "r").alias("party_b"), "msg_id",
-        F.when(F.col("s") < F.col("r"), "a").otherwise("b").alias("role"), "utc_ms", "spoken", "bad",
+        F.when(F.col("s") < F.col("r"), "a").otherwise("b").alias("role"), "utc_ms", "spoken", (~F.col("spoken") & F.coalesce("is_text", F.lit(False))).alias("bad"),
     )
     one = rows.groupBy("msg_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "msg_id"])).alias("one"))
     return one.select("msg_id", "one.*")

@@ -42,5 +42,38 @@ def test_contradicting_references_break_a_conversation(spark):
     assert C.rebuild(df, H).first().n_cyclic == 2 and C.kept(C.rebuild(df, H)).count() == 0
 
 
+def test_ties_are_ordered_by_the_graph_and_not_by_arrival():
+    ids, ms = ["m3", "m1", "m2", "m9", "m4"], [0, 0, 0, 5, 5]
+    assert C.order_run(ids, ms, None) == ([1, 2, 0, 4, 3], [])
+    assert C.order_run(ids, ms, [None, "m3", None, None, None]) == ([2, 0, 1, 4, 3], [])  # m1 replies to m3 of the same instant
+    assert C.order_run(ids, ms, [None, "m4", None, None, None]) == ([2, 0], [1, 3, 4])
+
+
+def test_roles_must_alternate(spark):
+    said = [("m1", "a", 0, True, False), ("m2", "b", 1, False, False), ("m3", "a", 2, True, False)]
+    assert C.rebuild(rows(spark, said), H).first().n_turns == 1 and C.kept(C.rebuild(rows(spark, said), H)).count() == 0
+    assert C.kept(C.rebuild(rows(spark, [*said, ("m4", "b", 3, True, False)]), H)).first().n_turns == 2
+
+
+def test_cycle_over_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    items = [(f"m{i:04d}", "ab"[i % 2], i * 1000, True, False) for i in range(2000)] + [(f"n{i:04d}", "ab"[i % 2], 100 * H + i * 1000, True, False) for i in range(500)]
+    df = rows(spark, items)
+    back = df.withColumn("reply_to", F.when(F.col("msg_id") == "m0100", "m1900").when(F.col("msg_id") == "m1000", "m0010").when(F.col("msg_id") == "n0003", "m0003"))
+    void = df.withColumn("reply_to", F.when(F.col("msg_id") == "m1999", "n0400").when(F.col("msg_id") == "m0005", "x"))
+    for name, parts in (("many", "8"), ("one", "1")):
+        old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {r.first_msg_id: (r.n_messages, r.n_cyclic) for r in C.rebuild(back, 4 * H).collect()}
+            assert got == {"m0000": (2000, 1900), "n0000": (500, 0)}, name
+            assert sorted(r.n_cyclic for r in C.rebuild(void, 4 * H).collect()) == [0, 0], name
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old[0])
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+
+
 def test_empty(spark):
     assert C.rebuild(rows(spark, []), H).count() == 0

@@ -35,7 +35,7 @@ def test_limits_on_loss_and_segments_bind():
         return np.array([demand[place == k].sum(axis=0) for k in range(place.max() + 1)]) / limits
 
     tight, loose = full(np.array([2048.0, 32.0, 1700.0])), full(np.array([2048.0, 32.0, 2048.0]))
-    assert (tight <= 1).all() and (tight[:-1, 2] > 0.95).mean() > 0.9 and tight[:-1, 0].mean() > 0.9
+    assert (tight <= 1).all() and (tight[:-1, 2] > 0.95).mean() > 0.8 and tight[:-1, 0].mean() > 0.9
     assert len(tight) >= len(loose)
     few = full(np.array([2048.0, 4.0, 2048.0]))
     assert (few[:-1, 1] == 1).mean() > 0.9
