@@ -22,9 +22,9 @@ def with_country(raw: Column, country: str = "91") -> Column:
     `+` or `00` introduces a prefix; ten digits, or 0 and ten digits, get `country`; shorter ones are short codes.
     """
     only = digits(raw)
-    plus = F.coalesce(F.regexp_extract(raw, r"^[^0-9+]*\+", 0) != "", F.lit(False))
-    found = (
-        F.when(plus, only)
+    plus = F.coalesce(F.rlike(raw, F.lit(r"^[^0-9+]*\+")), F.lit(False))
+    found = (  # the first condition holds the digits, so that they are made once for all branches
+        F.when((F.length(only) > 0) & plus, only)
         .when(only.startswith("00"), F.substring(only, 3, 1 << 20))
         .when((F.length(only) == 11) & only.startswith("0"), F.concat(F.lit(country), F.substring(only, 2, 10)))
         .when(F.length(only) == 10, F.concat(F.lit(country), only))
