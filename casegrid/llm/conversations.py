@@ -99,7 +99,7 @@ def turns(roles: list[str]) -> int:
 def piece_sums(ids: list[str], ms: list[int], roles: list[str], spoken: list[bool], bad: list[bool], reply_to: list | None, reply_ms: list | None) -> tuple:
     """What one run, or the part of it in one task, hands on: first id, messages, incomplete ones, leftover, turns of those
     who speak, first and last speaker, and references ahead as (messages from the replying one on, instant of the target)."""
-    order, left = order_run(ids, ms, reply_to)
+    order, left = order_run(ids, ms, reply_to) if len(ids) > 1 else ([0], [])
     said = [roles[i] for i in order if spoken[i]]
     ahead = []
     if reply_ms:
@@ -112,48 +112,50 @@ def piece_sums(ids: list[str], ms: list[int], roles: list[str], spoken: list[boo
 
 
 def _chunk(gap_ms: int):
-    def flush(held: list[pd.DataFrame], is_open: bool) -> tuple:
-        rows = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-        refs = "reply_to" in rows
-        whole = lambda c: [None if pd.isna(x) else x for x in rows[c]]
-        ms = rows["utc_ms"].tolist()
-        first, n, bad, left, n_turns, a, b, ahead = piece_sums(
-            rows["msg_id"].tolist(), ms, rows["role"].tolist(), rows["spoken"].tolist(), rows["bad"].tolist(),
-            whole("reply_to") if refs else None, whole("reply_ms") if refs else None)
-        return (*(rows[c].iat[0] for c in _KEYS), first, int(ms[0]), int(ms[-1]), n, bad, left, n_turns, a, b, is_open, ahead)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # the run that may go on
+        held: list[list] | None = None  # the columns of the run that may go on
         began = False
         for f in frames:
             if not len(f):
                 continue
-            f = f.reset_index(drop=True)
             ms = f["utc_ms"].to_numpy(dtype=np.int64)
             fresh = np.zeros(len(f), dtype=bool)
             for c in _KEYS:
                 v = f[c].to_numpy()
                 fresh[1:] |= v[1:] != v[:-1]
-                fresh[0] |= bool(held) and held[-1][c].iat[-1] != v[0]
             fresh[1:] |= np.diff(ms) > gap_ms
-            fresh[0] |= bool(held) and ms[0] - held[-1]["utc_ms"].iat[-1] > gap_ms
-            out, at = [], 0
-            for b in np.flatnonzero(fresh).tolist():
-                if b > at:
-                    held.append(f.iloc[at:b])
+            whole = lambda c: [None if pd.isna(x) else x for x in f[c]]  # noqa: B023, E731
+            refs = [whole("reply_to"), whole("reply_ms")] if "reply_to" in f else []
+            columns = [f[c].tolist() for c in (*_KEYS, "msg_id", "utc_ms", "role", "spoken", "bad")] + refs
+            if held and (any(held[k][0] != columns[k][0] for k in range(4)) or columns[5][0] - held[5][-1] > gap_ms):
+                yield pd.DataFrame([_piece(held, not began)], columns=_COLUMNS)
+                held, began = None, True
+            bounds = [0, *np.flatnonzero(fresh).tolist(), len(f)]
+            out = []
+            for a, b in zip(bounds, bounds[1:]):
+                if a and held:
+                    out.append(_piece(held, not began))
+                    held, began = None, True
                 if held:
-                    out.append(flush(held, not began))
-                    began = True
-                held, at = [], b
-            held.append(f.iloc[at:])
+                    for own, c in zip(held, columns):
+                        own += c[a:b]
+                else:
+                    held = [c[a:b] for c in columns]
             if out:
                 yield pd.DataFrame(out, columns=_COLUMNS)
         if held:
-            yield pd.DataFrame([flush(held, True)], columns=_COLUMNS)
+            yield pd.DataFrame([_piece(held, True)], columns=_COLUMNS)
 
     return run
 
 
+def _piece(columns: list[list], is_open: bool) -> tuple:
+    """One row of sums of a run, or of the part of it in one task, given by columns."""
+    ids, ms, roles, spoken, bad, *refs = columns[4:]
+    first, n, n_bad, left, n_turns, a, b, ahead = piece_sums(ids, ms, roles, spoken, bad, *(refs or (None, None)))
+    return (*(c[0] for c in columns[:4]), first, ms[0], ms[-1], n, n_bad, left, n_turns, a, b, is_open, ahead)
+
+
 def join_pieces(pieces: list[dict]) -> dict:
     """One conversation of the pieces of a run, in order of time."""
     one = dict(pieces[0])
