@@ -1,13 +1,15 @@
 """Personal data in free text (problem 2): found by bootstrapped contextual extraction, replaced by typed placeholders.
 
-Seeds are the names in contacts and call logs and the numbers beside them, and values whose shape leaves no doubt (e-mails,
-grouped identity numbers, numbers with `+`). Where seeds occur, the words around them give lexical patterns: one word to
-the left with two to the right, or three to the right alone. Patterns and the instances they extract, seeds or not,
-form a graph whose scores are iterated in Spark: a pattern is as good as the share of its instances that are trusted,
-an instance as good as the patterns that extract it. Good patterns then give names, numbers and identity numbers that no
-seed lists; contexts in which no trusted value ever occurs (orders, payments, tickets) give none.
-
-The lexicon of seed tokens and the list of patterns are models of bounded size (`Settings`); counts are over all texts.
+Seeds are the names in contacts and call logs and the numbers beside them, and values whose shape leaves no doubt (plain e-mails,
+addresses with a word such as Flat or Plot, grouped identity numbers, numbers with `+`). Where seeds occur, the words around them give
+lexical patterns: one word to the left with two to the right, or three to the right alone. Patterns and the instances they extract,
+seeds or not, form a graph whose scores are iterated in Spark: a pattern is as good as the share of its instances that are trusted,
+an instance as good as the patterns that extract it. Good patterns then give names, numbers, identity numbers, disguised e-mails and
+addresses that begin with a bare number, which no seed lists; contexts in which no trusted value ever occurs (orders, payments, tickets)
+give none.
+
+Seed tokens and patterns are sent to all tasks only if there are at most `Settings.broadcast_rows` of them, which is checked; beyond that
+each text gets those that occur in it by a join on the token and on the pattern, with the same result. Counts are over all texts.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.session import cut, table
@@ -27,10 +30,9 @@ from casegrid.session import cut, table
 
 @dataclass(frozen=True)
 class Settings:
-    """lexicon and patterns bound the model's size; support: seeds a pattern needs; accept: least score of a pattern."""
+    """broadcast_rows: most seed tokens, or patterns, sent to every task; support: seeds a pattern needs; accept: least score of a pattern."""
 
-    lexicon: int = 30_000
-    patterns: int = 20_000
+    broadcast_rows: int = 200_000
     support: int = 3
     accept: float = 0.35
     rounds: int = 3
@@ -38,12 +40,14 @@ class Settings:
 
 # Forms of address and words that begin or end an address.
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "adv", "shri", "sri", "smt", "sr", "sra", "srta", "herr", "frau", "mme", "mlle", "m", "er", "capt", "श्री", "श्रीमती", "డాక్టర్", "ডাঃ"}
+PARTICLES = {"de", "del", "da", "do", "dos", "das", "la", "el", "al", "bin", "von", "van", "der", "e", "y"}
 STREETS = "road|street|lane|drive|avenue|crescent|terrace|marg|nagar|colony|sector|bagh|gali|rasta|path|chowk|close|court|place|square|way|row|hill|boulevard|layout|enclave|vihar|salai|rd|st|ave"
 
 _TOKEN = re.compile(r"\S+")
 _EDGE = re.compile(r"^[^\w@#+]+|[^\w]+$")
 _EMAIL = re.compile(
     r"(?<![\w/.@:+-])[\w][\w.+-]*\s?(?:@|\(at\)|\[at\]|\{at\}|\s\(at\)\s|\s\[at\]\s)\s?[\w-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?[\w-]+)+", re.I)
+_PLAIN_EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 _D = r"[0-9०-९০-৯౦-౯]"
 _LIKE = r"[0-9OoIl०-९০-৯౦-౯]"
 _LICENCE = re.compile(r"(?<![\w])[A-Za-z]{2}[- ]?[0-9OoIl]{2}[- ]?[0-9OoIl]{11}(?!\w)")
@@ -52,6 +56,8 @@ _NUMBER = re.compile(rf"(?<![\w@#./_,:-])(?:\(?\+\s?|\(|00)?(?:{_D}|[OoIl](?={_D
 _ADDRESS = re.compile(
     rf"(?<![\w/.-])(?:(?:flat|plot|house|h\.?\s*no|door|shop|room|unit|apartment|apt|quarter|block)\b[\s.:#]*(?:no\b\.?\s*)?[0-9OoIl]+[\w/-]*|[0-9]{{1,4}}(?:[/-][0-9]{{1,4}}){{0,2}}[A-Za-z]?)"
     rf"(?=(?:[\s,]+(?!(?:{STREETS})\b)[\w.'’]+){{0,8}}?[\s,]+(?:(?:{STREETS})\b))", re.I)
+_STEP = re.compile(r"[^\s,]+")
+_STREET = re.compile(rf"(?:[\s,]+[\w.'’-]+){{0,8}}?[\s,]+(?:{STREETS})\b", re.I)
 #: What may follow a street: a landmark, the place and its postal code.
 _PLACE = re.compile(r"(?:\s*,\s*(?:near\s+\w+\s+\w+|[^\W\d_]+(?:\s+\d+)?)(?:\s*-?\s*(?:\d{4,6}|[A-Z]{2}\d+\s\d[A-Z]{2}))?){1,3}", re.I)
 _MORE = re.compile(rf"(?:[ \t\n]+(?:(?:{STREETS})\b|\d{{1,3}}\b(?=\s*,)))+", re.I)
@@ -115,27 +121,26 @@ def spans(text: str) -> list[tuple[int, int, str, str, bool]]:
     if "@" in text or "at" in text or "AT" in text:
         for m in _EMAIL.finditer(text):
             if "//" not in text[max(0, m.start() - 30) : m.start()].split(" ")[-1]:
-                take(m.start(), m.end(), "email", True)
+                take(m.start(), m.end(), "email", bool(_PLAIN_EMAIL.fullmatch(m.group())))
     if not any(map(str.isdigit, text)):
         return out
     for m in _ADDRESS.finditer(text):
-        head = m.group()
-        after = text[m.end() : m.end() + 90]
-        if _NUM_ONLY.match(head):  # a bare number must be followed by the street's name at once
-            after_words = re.findall(r"[^\s,]+", after)[:6]
-            streets = [k for k, w in enumerate(after_words) if re.fullmatch(STREETS, w.strip(".").lower())]
-            if not streets or streets[0] == 0 or any(not (w[0].isalpha() or re.match(r"\d+(?:st|nd|rd|th)$", w, re.I)) for w in after_words[: streets[0]]):
+        bare = bool(_NUM_ONLY.match(m.group()))
+        if bare:  # a bare number must be followed by the street's name at once
+            words = [w.group() for w in islice(_STEP.finditer(text, m.end()), 6)]
+            streets = [k for k, w in enumerate(words) if re.fullmatch(STREETS, w.strip(".").lower())]
+            if not streets or streets[0] == 0 or any(not (w[0].isalpha() or re.match(r"\d+(?:st|nd|rd|th)$", w, re.I)) for w in words[: streets[0]]):
                 continue
-            if after[:1] not in " ,\n\r\t" or streets[0] > 4:
+            if text[m.end() : m.end() + 1] not in set(" ,\n\r\t") or streets[0] > 4:
                 continue
-        tail = re.match(rf"(?:[\s,]+[\w.'’-]+){{0,8}}?[\s,]+(?:{STREETS})\b", after, re.I)
-        end = m.end() + (tail.end() if tail else 0)
+        tail = _STREET.match(text, m.end())
+        end = tail.end() if tail else m.end()
         if more := _MORE.match(text, end):
             end = more.end()
         if place := _PLACE.match(text, end):
             end = place.end()
         if all(free[m.start() : m.end()]):
-            take(m.start(), end if all(free[m.start() : end]) else m.end(), "address", True)
+            take(m.start(), end if all(free[m.start() : end]) else m.end(), "address", not bare)
     for m in _LICENCE.finditer(text):
         take(m.start(), m.end(), "id_number", True)
     for m in _LETTERED.finditer(text):
@@ -173,8 +178,13 @@ def _name_token(token: str) -> bool:
     return bool(t) and all(c.isalpha() or c in "'’-." for c in t) or (bool(t) and not any(c.isdigit() or c in "@/_#" for c in t) and any(c.isalpha() for c in t))
 
 
+def _goes_on(token: str, word: str, place: int) -> bool:
+    """Whether a token may be the one at a place of a name; from the fifth on it must have a capital or be a particle."""
+    return _name_token(token) and (place <= 4 or token[0].isupper() or word in PARTICLES)
+
+
 def seed_edges(text: str, lexicon: frozenset) -> list[tuple[str, str]]:
-    """(pattern, instance) of runs of one to four seed tokens; initials and titles may stand among them."""
+    """(pattern, instance) of runs of seed tokens; initials and titles may stand before them."""
     at, words = _tokens(text)
     out, i, n = [], 0, len(words)
     while i < n:
@@ -182,7 +192,7 @@ def seed_edges(text: str, lexicon: frozenset) -> list[tuple[str, str]]:
             i += 1
             continue
         j = i + 1
-        while j < n and j - i < 4 and words[j] in lexicon and text[at[j - 1][1] - 1] not in ",;:!?)":
+        while j < n and words[j] in lexicon and text[at[j - 1][1] - 1] not in ",;:!?)":
             j += 1
         k = i
         while k and i - k < 2 and (len(words[k - 1]) == 1 and words[k - 1].isalpha() and text[at[k - 1][1] - 1] == "." or words[k - 1] in TITLES):
@@ -225,8 +235,8 @@ def extract(text: str, patterns: dict[str, frozenset], lexicon: frozenset, stop:
         sides = by_left.get(words[i - 1] if i else "^")
         hit = 0
         if sides and not busy[i]:
-            for j in range(i + 1, min(n, i + 6) + 1):
-                if busy[j - 1] or not _name_token(text[at[j - 1][0] : at[j - 1][1]]):
+            for j in range(i + 1, n + 1):
+                if busy[j - 1] or not _goes_on(text[at[j - 1][0] : at[j - 1][1]], words[j - 1], j - i):
                     break
                 right = f"{words[j] if j < n else '$'} {words[j + 1] if j + 1 < n else '$'}"
                 if right in sides:
@@ -252,7 +262,7 @@ def extract(text: str, patterns: dict[str, frozenset], lexicon: frozenset, stop:
             right = f"{words[j]} {words[j + 1]} {words[j + 2] if j + 2 < n else '$'}"
             if right in right_only:
                 i = j
-                while i and j - i < 4 and not busy[i - 1] and (words[i - 1] in lexicon or (len(words[i - 1]) == 1 and words[i - 1].isalpha() and j - i > 0)):
+                while i and not busy[i - 1] and (words[i - 1] in lexicon or (len(words[i - 1]) == 1 and words[i - 1].isalpha() and j - i > 0)):
                     if i < j and text[at[i - 1][1] - 1] in ",;:!?)" :
                         break
                     i -= 1
@@ -271,7 +281,7 @@ def _name(text: str, at: list, words: list[str], i: int, j: int) -> str:
         i += 1
     while j > i and not words[j - 1]:
         j -= 1
-    if i >= j or j - i > 4:
+    if i >= j:
         return ""
     return text[at[i][0] : at[j - 1][1]].strip(" .,;:!?()[]\"'“”")
 
@@ -283,71 +293,116 @@ def texts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).where(F.length(F.trim("text")) > 0)
 
 
-def seed_tokens(spark: SparkSession, sf_dir: str, settings: Settings) -> frozenset:
-    """The most frequent tokens of names of persons, counted over cases; organisations' names are left out."""
-    contacts = table(spark, sf_dir, "contacts").select("case_id", "name")
+def seed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens of names of persons (column token); organisations' names are left out."""
+    contacts = table(spark, sf_dir, "contacts").select("name")
     logs = table(spark, sf_dir, "call_logs")
-    rows = contacts.unionByName(logs.select("case_id", F.col("caller_name").alias("name"))).unionByName(logs.select("case_id", F.col("callee_name").alias("name")))
+    rows = contacts.unionByName(logs.select(F.col("caller_name").alias("name"))).unionByName(logs.select(F.col("callee_name").alias("name")))
     firm = r"(?i)\bm/s\b|\b(ltd|limited|inc|incorporated|pvt|sons|motors|mtrs|enterprises|entp|services|svcs|stores?|company|trading|trdg|logistics|travels|trvls|electronics|elec|finance|courier|log|fin|med)\b"
-    rows = rows.where(~F.col("name").rlike(firm)).select("case_id", F.regexp_replace("name", r"(\p{Ll})(\p{Lu})", "$1 $2").alias("name")).distinct()
-    tokens = rows.select("case_id", F.explode(F.split(F.lower("name"), r"[^\p{L}'’]+")).alias("t")).where(F.length("t") > 2)
+    rows = rows.where(~F.col("name").rlike(firm)).distinct().select(F.regexp_replace("name", r"(\p{Ll})(\p{Lu})", "$1 $2").alias("name"))
+    tokens = rows.select(F.explode(F.split(F.lower("name"), r"[^\p{L}'’]+")).alias("token")).where(F.length("token") > 2)
     common = "unknown|private|number|withheld|spam|owner|name|office|new|bank|bhai|sir|the|home|work|mobile|and|adv|prof|mrs|shri|smt"
-    counts = tokens.where(~F.col("t").rlike(f"^({common})$")).groupBy("t").agg(F.countDistinct("case_id").alias("n"))
-    return frozenset(r["t"] for r in counts.orderBy(F.desc("n"), "t").limit(settings.lexicon).collect())
+    return tokens.where(~F.col("token").rlike(f"^({common})$")).distinct()
+
+
+_KEY = ["source_table", "record_id"]
+
+
+def with_own(texts: DataFrame, values: DataFrame, made, name: str) -> DataFrame:
+    """Texts with an array `name` of those of `values` (column v) that `made`, a function of a text, gives for them: by a join on the value."""
+    of = F.pandas_udf(lambda s: s.map(lambda t: sorted(set(made(t)))), "array<string>")
+    here = texts.select(*_KEY, F.explode(of("text")).alias("v")).distinct().join(values.select("v").distinct(), "v")
+    return texts.join(here.groupBy(*_KEY).agg(F.collect_set("v").alias(name)), _KEY, "left")
+
+
+def text_patterns(text: str) -> Iterator[str]:
+    """All patterns that a text could hold a name of."""
+    at, words = _tokens(text)
+    n, right = len(words), [*words, "$", "$", "$"]
+    for i in range(n):
+        left = words[i - 1] if i else "^"
+        yield f"* _ {right[i + 1]} {right[i + 2]} {right[i + 3]}"
+        for j in range(i + 1, n + 1):
+            if not _goes_on(text[at[j - 1][0] : at[j - 1][1]], words[j - 1], j - i):
+                break
+            yield f"{left} _ {right[j]} {right[j + 1]}"
+
+
+class Model:
+    """Seed tokens and patterns as a task needs them: in whole, or, where there are too many to send, those of each text."""
+
+    def __init__(self, tokens: frozenset | None = None, patterns: dict[str, frozenset] | None = None) -> None:
+        self.tokens, self.patterns = tokens, patterns
+        self.stop = context_words(patterns, tokens) if tokens is not None and patterns is not None else None
+
+    def of(self, row) -> tuple[frozenset, dict[str, frozenset], frozenset]:
+        """(seed tokens, patterns, words that begin no name) for a row of texts."""
+        have = lambda name: [] if getattr(row, name, None) is None else list(getattr(row, name))
+        tokens = self.tokens if self.tokens is not None else frozenset(have("own_tokens"))
+        patterns = self.patterns if self.patterns is not None else by_left(have("own_patterns"))
+        stop = self.stop if self.stop is not None else frozenset(have("own_stops")) - tokens
+        return tokens, patterns, stop
+
+
+def by_left(patterns: list[str]) -> dict[str, frozenset]:
+    """Patterns as left word (or '*') to right sides."""
+    out: dict[str, set] = {}
+    for p in patterns:
+        left, _, right = p.partition(" _ ")
+        out.setdefault(left, set()).add(right)
+    return {k: frozenset(v) for k, v in out.items()}
 
 
 def _grouped(pairs: Iterator[tuple[str, str]]) -> list[tuple[str, str, int]]:
     return [(p, v, n) for (p, v), n in Counter(pairs).items()]
 
 
-def name_patterns(texts: DataFrame, lexicon: frozenset, settings: Settings) -> dict[str, frozenset]:
-    """Patterns that hold enough different seeds, as left word to right sides. Counted over all texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+def name_patterns(texts: DataFrame, model: Model, settings: Settings) -> DataFrame:
+    """Patterns (column v) that hold enough different seeds. Counted over all texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = _grouped(e for t in f["text"] for e in seed_edges(t, shared.value))
+            rows = _grouped(e for r in f.itertuples(index=False) for e in seed_edges(r.text, shared.value.of(r)[0]))
             yield pd.DataFrame(rows, columns=["pattern", "instance", "n"])
 
-    edges = texts.select("text").mapInPandas(run, "pattern string, instance string, n long")
-    seen = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("seeds"), F.sum("n").alias("n"))
-    best = seen.where(F.col("seeds") >= settings.support).orderBy(F.desc("seeds"), "pattern").limit(settings.patterns)
-    out: dict[str, set] = {}
-    for r in best.collect():
-        left, _, right = r["pattern"].partition(" _ ")
-        out.setdefault(left, set()).add(right)
-    return {k: frozenset(v) for k, v in out.items()}
+    edges = texts.mapInPandas(run, "pattern string, instance string, n long")
+    seen = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("seeds"))
+    return seen.where(F.col("seeds") >= settings.support).select(F.col("pattern").alias("v"))
 
 
 _FOUND = "source_table string, record_id string, kind string, raw string, pattern string, other string, instance string, sure boolean, seed boolean"
 
 
-def extractions(texts: DataFrame, patterns: dict[str, frozenset], lexicon: frozenset) -> DataFrame:
+def extractions(texts: DataFrame, model: Model) -> DataFrame:
     """All candidates of all texts, with their patterns and whether they are trusted as seeds."""
-    shared = texts.sparkSession.sparkContext.broadcast((patterns, lexicon, context_words(patterns, lexicon)))
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pats, lex, stop = shared.value
         for f in frames:
             out = []
-            for s, r, t in zip(f["source_table"], f["record_id"], f["text"]):
-                for kind, raw, x, y, instance, sure in extract(t, pats, lex, stop):
+            for r in f.itertuples(index=False):
+                lex, pats, stop = shared.value.of(r)
+                for kind, raw, x, y, instance, sure in extract(r.text, pats, lex, stop):
                     seed = sure if kind != "name" else all(w in lex or len(w) == 1 or w in TITLES for w in instance.split()) and any(w in lex for w in instance.split())
-                    out.append((s, r, kind, raw, x, y, instance, sure, seed))
+                    out.append((r.source_table, r.record_id, kind, raw, x, y, instance, sure, seed))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
 
     return texts.mapInPandas(run, _FOUND)
 
 
+def _graph_kind() -> Column:
+    return F.when(F.col("kind").isin("phone", "id_number"), "number").otherwise(F.col("kind"))
+
+
 def score_patterns(found: DataFrame, settings: Settings) -> DataFrame:
     """(kind, pattern, score): the graph of patterns and instances, scored in rounds.
 
     A pattern's score is the smoothed mean of its instances' scores; an instance's is 1 if it is a seed, else the chance that
     at least one of its patterns is right, halved. Phones and identity numbers share contexts and are scored together.
     """
-    kind = F.when(F.col("kind").isin("phone", "id_number"), "number").otherwise(F.col("kind"))
     sides = F.explode(F.array("pattern", "other")).alias("pattern")
-    edges = found.where(F.col("kind").isin("name", "phone", "id_number")).select(kind.alias("kind"), sides, "instance", F.col("seed").cast("double").alias("seed"))
+    edges = found.select(_graph_kind().alias("kind"), sides, "instance", F.col("seed").cast("double").alias("seed"))
     edges = cut(edges.groupBy("kind", "pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
     scores = edges.groupBy("kind", "pattern").agg((F.sum("seed") / (F.count(F.lit(1)) + 1)).alias("score"))
     for _ in range(settings.rounds - 1):
@@ -359,23 +414,42 @@ def score_patterns(found: DataFrame, settings: Settings) -> DataFrame:
     return scores
 
 
-def personal_data(texts: DataFrame, lexicon: frozenset, settings: Settings = Settings()) -> DataFrame:
-    """(source_table, record_id, kind, raw) of personal data, texts being (source_table, record_id, text)."""
-    found = cut(extractions(texts, name_patterns(texts, lexicon, settings), lexicon))
+def personal_data(texts: DataFrame, lexicon: DataFrame | frozenset, settings: Settings = Settings()) -> DataFrame:
+    """(source_table, record_id, kind, raw) of personal data, texts being (source_table, record_id, text), lexicon the seed tokens.
+
+    Null and empty texts, which must be left out, hold nothing; repeated rows give their values once; other columns are ignored.
+    """
+    texts = texts.select(*_KEY, "text")
+    tokens = lexicon if isinstance(lexicon, frozenset) else None
+    if tokens is None:
+        lexicon = cut(lexicon.select(F.col("token").alias("v")))
+        if lexicon.count() <= settings.broadcast_rows:
+            tokens = frozenset(r["v"] for r in lexicon.collect())
+        else:
+            texts = with_own(texts, lexicon, lambda t: _tokens(t)[1], "own_tokens")
+    patterns = cut(name_patterns(texts, Model(tokens), settings))
+    known = None
+    if patterns.count() <= settings.broadcast_rows:
+        known = by_left([r["v"] for r in patterns.collect()])
+    else:
+        texts = with_own(texts, patterns, text_patterns, "own_patterns")
+    if tokens is None or known is None:
+        stops = patterns.select(F.explode(F.split(F.regexp_replace("v", " _ ", " "), " ")).alias("v"))
+        texts = with_own(texts, stops, lambda t: _tokens(t)[1], "own_stops")
+    found = cut(extractions(texts, Model(tokens, known)))
     scores = score_patterns(found, settings).where(F.col("score") >= settings.accept)
-    kind = F.when(F.col("kind").isin("phone", "id_number"), "number").otherwise(F.col("kind"))
-    rows = found.withColumn("k", kind)
+    rows = found.withColumn("k", _graph_kind())
     good = scores.select(F.col("kind").alias("k"), "pattern", F.lit(True).alias("good"))
     rows = rows.join(good, ["k", "pattern"], "left")
     rows = rows.join(good.select("k", F.col("pattern").alias("other"), F.col("good").alias("good2")), ["k", "other"], "left")
     trusted = F.coalesce("good", "good2", F.lit(False))
-    plain = F.col("kind").isin("email", "address") | ((F.col("k") == "number") & F.col("sure"))
-    return rows.where(plain | trusted).select("source_table", "record_id", "kind", "raw").distinct()
+    seeds = (F.col("kind") != "name") & F.col("seed")  # instances of score 1; a name's tokens are common words too, it needs a pattern
+    return rows.where(seeds | trusted).select(*_KEY, "kind", "raw").distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
     """Personal data of messages.text and media.ocr_text."""
-    rows = personal_data(texts_of(spark, sf_dir), seed_tokens(spark, sf_dir, settings), settings)
+    rows = personal_data(texts_of(spark, sf_dir), seed_tokens(spark, sf_dir), settings)
     of = F.pandas_udf(lambda s: s.map(value_of), "string")
     return rows.select("source_table", "record_id", F.col("kind").alias("pii_type"), of("raw").alias("pii_value")).where("pii_value <> ''").distinct()
 
@@ -390,7 +464,7 @@ def redact(text: str, found: list[tuple[str, str]]) -> str:
 def p2_redacted(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
     """Every message and scan with personal data replaced by placeholders; others as they are."""
     texts = texts_of(spark, sf_dir)
-    rows = personal_data(texts, seed_tokens(spark, sf_dir, settings), settings)
+    rows = personal_data(texts, seed_tokens(spark, sf_dir), settings)
     by = rows.groupBy("source_table", "record_id").agg(F.collect_list(F.struct("kind", "raw")).alias("found"))
     of = F.pandas_udf(lambda t, f: pd.Series([redact(a, [(x["kind"], x["raw"]) for x in b] if b is not None else []) for a, b in zip(t, f)]), "string")
     return texts.dropDuplicates(["source_table", "record_id"]).join(by, ["source_table", "record_id"], "left").select("source_table", "record_id", of("text", "found").alias("text"))
