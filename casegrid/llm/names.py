@@ -2,9 +2,9 @@
 
 Spellings are parsed into tokens (titles, marks of a second number and legal forms put aside, run-together names split).
 Near tokens, near brands and near whole names are found by a pigeonhole segment join: a string within k edits of another
-shares, unchanged, at least one of k + 1 segments with it, at a place shifted by at most k. Segments of one side are an
-inverted index; the other side looks up its position-shifted substrings; candidates are verified with a banded edit distance
-that counts a swap of neighbours as one edit. A rarer token that lies near a much more frequent one is taken as its
+shares, unchanged, at least two of k + 2 segments with it, at places shifted by no more than the edits allow. Pairs of segments of one side
+are an inverted index, more selective than single ones; the other side looks up its position-shifted pairs of substrings; candidates are
+verified with a banded edit distance that counts a swap of neighbours as one edit. A rarer token that lies near a much more frequent one is taken as its
 misspelling; two tokens frequent in their own right (Nitin, Nitish) stay apart however near they are.
 
 A spelling with two full tokens names an entity by itself. If one of them is a listed nickname, it goes to the entity of its
@@ -17,9 +17,11 @@ one entity of the case fits. Evidence alone never links: lines are shared.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from dataclasses import dataclass
+from itertools import combinations, product
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -116,35 +118,42 @@ def banded(a: str, b: str, most: int) -> int:
     return min(before.get(len(b), big), big)
 
 
-def segments(s: str, k: int) -> list[tuple[int, int, str]]:
-    """(number, start, text) of the k + 1 segments of a string, as even as can be."""
-    n, parts = len(s), k + 1
-    cuts = [i * n // parts for i in range(parts + 1)]
-    return [(i, cuts[i], s[cuts[i] : cuts[i + 1]]) for i in range(parts) if cuts[i + 1] > cuts[i]]
+def segments(n: int, k: int) -> list[tuple[int, int]]:
+    """(start, end) of the k + 2 segments of a string of n characters, as even as can be."""
+    cuts = [i * n // (k + 2) for i in range(k + 3)]
+    return list(zip(cuts, cuts[1:]))
+
+
+@functools.lru_cache(maxsize=1024)
+def _places(size: int, k: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(length, segment, segment, start, end, start, end) of what a string of `size` looks up: for each length within k, each two segments
+    and each two shifts that k edits before, between and behind them can bring about."""
+    out = []
+    for n in range(max(1, size - k), size + k + 1):
+        more, parts = size - n, segments(n, k)
+        for i, j in combinations(range(k + 2), 2):
+            for d, e in product(range(-k, k + 1), repeat=2):
+                (a, b), (c, f) = parts[i], parts[j]
+                if abs(d) + abs(e - d) + abs(more - e) <= k and a + d >= 0 and b + d <= c + e and f + e <= size:
+                    out.append((n, i, j, a + d, b + d, c + e, f + e))
+    return out
 
 
 def index_keys(s: str, k: int) -> list[str]:
-    return [f"{len(s)}.{i}.{t}" for i, _, t in segments(s, k)]
+    """Keys of a string in the index: its length, two segments' numbers and their text."""
+    parts = segments(len(s), k)
+    return [f"{len(s)}.{i}.{j}.{s[slice(*parts[i])]}.{s[slice(*parts[j])]}" for i, j in combinations(range(k + 2), 2)]
 
 
 def probe_keys(s: str, k: int) -> list[str]:
-    """Keys of every index entry a string within k edits could share: for each length, the substrings at shifted places."""
-    out = set()
-    for n in range(max(1, len(s) - k), len(s) + k + 1):
-        parts = k + 1
-        cuts = [i * n // parts for i in range(parts + 1)]
-        for i in range(parts):
-            size = cuts[i + 1] - cuts[i]
-            if size:
-                for at in range(max(0, cuts[i] - k), min(len(s) - size, cuts[i] + k) + 1):
-                    out.add(f"{n}.{i}.{s[at : at + size]}")
-    return sorted(out)
+    """Keys of every index entry that a string within k insertions, deletions and replacements, or one swap, shares."""
+    return sorted({f"{n}.{i}.{j}.{s[a:b]}.{s[c:f]}" for n, i, j, a, b, c, f in _places(len(s), k)})
 
 
 def near_pairs(left: DataFrame, right: DataFrame, by: list[str], settings: Settings) -> DataFrame:
     """(by..., a, b, distance) of strings within `edits` of one another; left: by..., a, weight; right: by..., b, more.
 
-    Short strings allow one edit only. Only pairs in which b is `ratio` times heavier than a are looked at.
+    Strings under five letters allow one edit only, those under three none. Only pairs in which b is `ratio` times heavier than a are looked at.
     """
     k = settings.edits
     make_index = F.pandas_udf(lambda s: s.map(lambda x: index_keys(x, k)), "array<string>")
@@ -155,7 +164,7 @@ def near_pairs(left: DataFrame, right: DataFrame, by: list[str], settings: Setti
     pairs = probe.join(index, [*by, "key"]).where((F.col("a") != F.col("b")) & (F.col("more") >= settings.ratio * F.col("weight")))
     pairs = pairs.select(*by, "a", "b", "weight", "more").distinct().withColumn("distance", distance("a", "b"))
     size = F.greatest(F.length("a"), F.length("b"))
-    return pairs.where(F.col("distance") <= F.when(size < 5, F.lit(1)).otherwise(F.lit(k)))
+    return pairs.where(F.col("distance") <= F.when(size < 3, F.lit(0)).when(size < 5, F.lit(1)).otherwise(F.lit(k)))
 
 
 def spellings(rows: DataFrame) -> DataFrame:
@@ -177,7 +186,7 @@ def canonical_tokens(known: DataFrame, formal: DataFrame, settings: Settings) ->
     """(kind, token, right) of tokens that are taken as misspellings of a much more frequent one near them; listed
     nicknames stand as they are."""
     counts = known.select("kind", "case_id", F.explode("tokens").alias("token")).distinct()
-    counts = counts.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("n")).where(F.length("token").between(3, 40))
+    counts = counts.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("n"))
     free = counts.join(formal.select("token").distinct(), "token", "left_anti")
     pairs = near_pairs(
         free.select("kind", F.col("token").alias("a"), F.col("n").alias("weight")),
@@ -336,8 +345,13 @@ def name_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.unionByName(sides[0]).unionByName(sides[1])
 
 
+def p3_members(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
+    """Every stored spelling of a case that names a person or organisation, with the entity it belongs to (null where it stays open)."""
+    return link(name_rows(spark, sf_dir), table(spark, sf_dir, "nicknames"), settings)
+
+
 def p3_found(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
     """Pairs of different stored spellings of one person or organisation within a case."""
-    one = cut(link(name_rows(spark, sf_dir), table(spark, sf_dir, "nicknames"), settings).where("entity is not null"))
+    one = cut(p3_members(spark, sf_dir, settings).where("entity is not null"))
     a, b = one.withColumnRenamed("name", "name_a"), one.withColumnRenamed("name", "name_b")
     return a.join(b, ["case_id", "entity"]).where("name_a < name_b").select("case_id", "name_a", "name_b").distinct()

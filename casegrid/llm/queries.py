@@ -8,6 +8,7 @@ QUERIES = {
     "p2_found": pii.p2_found,
     "p2_redacted": pii.p2_redacted,
     "p3_found": names.p3_found,
+    "p3_members": names.p3_members,
     "p5_found": scans.p5_found,
     "p6_found": language.p6_found,
     "p7_found": conversations.p7_found,

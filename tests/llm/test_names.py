@@ -35,6 +35,21 @@ def test_pigeonhole_finds_every_near_string(a, edits):
         assert set(N.probe_keys(a, 2)) & set(N.index_keys(b, 2))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcd", min_size=4, max_size=12), st.integers(0, 10))
+def test_pigeonhole_finds_every_swap(a, at):
+    at = min(at, len(a) - 2)
+    b = a[:at] + a[at + 1] + a[at] + a[at + 2 :]
+    assert set(N.probe_keys(a, 2)) & set(N.index_keys(b, 2))
+
+
+def test_long_tokens_are_corrected(spark):
+    long = "venkatanarasimharajuvaripetasubramaniam" * 2
+    rows = [(f"x{i}", f"{long} Rao", None, None) for i in range(6)] + [("x0", f"{long[:50]}q{long[51:]} Rao", None, None)]
+    got = link(spark, rows)
+    assert len(set(got.values())) == 1 and len(got) == 2
+
+
 def test_parse():
     assert N.parse("Dr. Rajesh K. Sharma") == ("person", ["rajesh", "sharma"], ["k"], "")
     assert N.parse("KuldeepDasgupta")[1] == ["kuldeep", "dasgupta"]
