@@ -219,9 +219,11 @@ def message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = device_facts(table(spark, sf_dir, "devices"), table(spark, sf_dir, "device_zones"))
     rows = table(spark, sf_dir, "messages").select(
         "msg_id", "case_id", "device_id", F.lower(F.trim("app")).alias("app"), "timestamp",
-        with_country(F.col("sender_raw")).alias("s"), with_country(F.col("receiver_raw")).alias("r"),
+        with_country(F.col("sender_raw")).alias("s0"), with_country(F.col("receiver_raw")).alias("r0"),
         _spoken(F.col("text")).alias("spoken"), (F.lower(F.trim("message_type")) == "text").alias("is_text"),
     )
+    # the numbers are made once: a filter on them isn't pushed below a generator, where they would be made again for each mention
+    rows = rows.select("*", F.inline(F.array(F.struct(F.col("s0").alias("s"), F.col("r0").alias("r"))))).drop("s0", "r0")
     rows = with_instant(rows.where("s is not null and r is not null and s <> r"), facts).where("utc_ms is not null")
     rows = rows.select(
         "case_id", "app", F.least("s", "r").alias("party_a"), F.greatest("s", "r").alias("party_b"), "msg_id",
