@@ -95,6 +95,35 @@ class Network:
             out[t] = h
         return out, tape
 
+    def plain_states(self, codes: np.ndarray) -> np.ndarray:
+        """The states of `states` where nothing is kept for a backward pass, in arrays that are used again at each step."""
+        p, h_size = self.p, self.hidden
+        w_zr, w_h = np.ascontiguousarray(p["w"][:, :, : 2 * h_size] * 0.5), np.ascontiguousarray(p["w"][:, :, 2 * h_size :])
+        u_zr, u_h = np.ascontiguousarray(p["u"][:, :, : 2 * h_size] * 0.5), np.ascontiguousarray(p["u"][:, :, 2 * h_size :])
+        _, size, batch = codes.shape
+        h, out = np.zeros((2, batch, h_size), np.float32), np.empty((size, 2, batch, h_size), np.float32)
+        x_zr, x_h = np.empty((2, batch, 2 * h_size), np.float32), np.empty((2, batch, h_size), np.float32)
+        zr, m = np.empty_like(x_zr), np.empty_like(x_h)
+        for t in range(size):
+            for k in (0, 1):
+                np.take(w_zr[k], codes[k, t], axis=0, out=x_zr[k], mode="clip")
+                np.take(w_h[k], codes[k, t], axis=0, out=x_h[k], mode="clip")
+            np.matmul(h, u_zr, out=zr)
+            zr += x_zr
+            np.tanh(zr, out=zr)  # of half the sum: the logistic function by way of tanh
+            zr *= 0.5
+            zr += 0.5
+            np.matmul(h, u_h, out=m)
+            m += p["b"]
+            m *= zr[..., h_size:]
+            m += x_h
+            np.tanh(m, out=m)
+            h -= m
+            h *= zr[..., :h_size]
+            h += m
+            out[t] = h
+        return out
+
     def outputs(self, states: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class probabilities (T, B, K), joined states (T, B, 2H))."""
         other = np.take_along_axis(states[:, 1], back[:, :, None], 0)
@@ -107,7 +136,7 @@ class Network:
     def predict(self, texts: list[bytes]) -> list[np.ndarray]:
         """Probabilities (len, K) of each text's positions."""
         codes, back, n = self.pack(texts)
-        prob, _ = self.outputs(self.states(codes, False)[0], back)
+        prob, _ = self.outputs(self.plain_states(codes), back)
         return [prob[: n[j], j] for j in range(len(texts))]
 
     def gradients(self, texts: list[bytes], labels: list[np.ndarray]) -> tuple[float, dict]:
@@ -267,15 +296,19 @@ _WORD = re.compile(r"\S+")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def word_log_probs(text: str, prob: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(start, end, mean log probabilities) of each word with a letter in it; prob is by byte."""
-    ends = np.cumsum([0] + [len(ch.encode("utf-8", "replace")) for ch in text])
-    total = np.concatenate([np.zeros((1, prob.shape[1])), np.cumsum(np.log(np.maximum(prob, 1e-6)), axis=0)])
-    out = []
+def words_of(text: str) -> list[tuple[int, int, int, int, int]]:
+    """(sentence, start, end, first byte, byte behind) of each word with a letter in it."""
+    cuts = [m.start() for m in _SENTENCE.finditer(text)]
+    out, at, byte, k, plain = [], 0, 0, 0, text.isascii()
+    size = len if plain else lambda x: len(x.encode("utf-8", "replace"))
     for m in _WORD.finditer(text):
-        if _LETTER.search(m.group()):
-            a, b = ends[m.start()], ends[m.end()]
-            out.append((m.start(), m.end(), (total[b] - total[a]) / max(1, b - a)))
+        a, b = m.span()
+        first = byte + size(text[at:a])
+        at, byte = b, first + size(text[a:b])
+        if _LETTER.search(text, a, b):
+            while k < len(cuts) and cuts[k] <= a:
+                k += 1
+            out.append((k, a, b, first, byte))
     return out
 
 
@@ -296,25 +329,42 @@ def best_path(scores: np.ndarray, switch_cost: float) -> np.ndarray:
     return path
 
 
-def segments(text: str, prob: np.ndarray, settings: Settings) -> list[tuple[int, int, str, float, int]]:
-    """(start, end, language, confidence, words) of each stretch of one language within a sentence, in order."""
-    seen = word_log_probs(text, prob)
-    if not seen:
-        return []
-    cuts = [m.start() for m in _SENTENCE.finditer(text)]
-    sentence = np.searchsorted(cuts, [s for s, _, _ in seen], side="right") if cuts else np.zeros(len(seen), int)
-    out = []
-    for k in np.unique(sentence):
-        own = [w for w, s in zip(seen, sentence) if s == k]
-        scores = np.array([w[2] for w in own])
-        path = best_path(scores, settings.switch_cost)
-        start = 0
-        for i in range(1, len(own) + 1):
-            if i == len(own) or path[i] != path[start]:
-                mean = scores[start:i].mean(axis=0)
-                e = np.exp(mean - mean.max())
-                out.append((own[start][0], own[i - 1][1], LANGUAGES[path[start]], float(e[path[start]] / e.sum()), i - start))
-                start = i
+def segments_of(texts: list[str], probs: list[np.ndarray], settings: Settings) -> list[list[tuple[int, int, str, float, int]]]:
+    """(start, end, language, confidence, words) of each stretch of one language within a sentence of each text, in order.
+
+    A word's scores are the means of the log probabilities of its bytes. Where no change of language can pay, as the best of all
+    words together are no more than its cost better than one language throughout, the sentence is one stretch; else the best path decides.
+    """
+    out: list[list] = [[] for _ in texts]
+    words, owner, sentence, offset = [], [], [], 0
+    for i, (t, p) in enumerate(zip(texts, probs)):
+        for k, a, b, first, last in words_of(t):
+            words.append((a, b, offset + first, offset + last))
+            owner.append(i)
+            sentence.append(k)
+        offset += len(p)
+    if not words:
+        return out
+    total = np.zeros((offset + 1, len(LANGUAGES)))
+    np.cumsum(np.log(np.maximum(np.concatenate(probs), 1e-6)), axis=0, out=total[1:])
+    spans = np.array([w[2:] for w in words])
+    scores = (total[spans[:, 1]] - total[spans[:, 0]]) / np.maximum(1, spans[:, 1] - spans[:, 0])[:, None]
+    owner, sentence = np.array(owner), np.array(sentence)
+    starts = np.append(0, np.flatnonzero((np.diff(owner) != 0) | (np.diff(sentence) != 0)) + 1)
+    ends = np.append(starts[1:], len(words))
+    sums, best = np.add.reduceat(scores, starts, axis=0), np.add.reduceat(scores.max(axis=1), starts)
+    even = sums.max(axis=1) >= best - settings.switch_cost
+    for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+        if even[k]:
+            parts = [(a, b, int(sums[k].argmax()))]
+        else:
+            path = best_path(scores[a:b], settings.switch_cost)
+            cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), b - a]
+            parts = [(a + x, a + y, int(path[x])) for x, y in zip(cuts, cuts[1:])]
+        for x, y, lang in parts:
+            mean = (sums[k] if even[k] else scores[x:y].sum(axis=0)) / (y - x)
+            confidence = 1.0 / float(np.exp(mean - mean[lang]).sum())
+            out[owner[a]].append((words[x][0], words[y - 1][1], LANGUAGES[lang], confidence, y - x))
     return out
 
 
@@ -332,8 +382,8 @@ def positions(net: Network, texts: list[str], settings: Settings) -> list[np.nda
             pieces.append((i, max(0, a - settings.overlap), a, b, min(len(d), b + settings.overlap)))
     out = [np.zeros((len(d), len(LANGUAGES)), np.float32) for d in data]
     order = np.argsort([p[4] - p[1] for p in pieces], kind="stable")
-    for p in range(0, len(order), 256):
-        chosen = [pieces[i] for i in order[p : p + 256]]
+    for p in range(0, len(order), 128):
+        chosen = [pieces[i] for i in order[p : p + 128]]
         for (i, lo, a, b, hi), prob in zip(chosen, net.predict([data[i][lo:hi] for i, lo, _, _, hi in chosen])):
             out[i][a:b] = prob[a - lo : b - lo]
     return out
@@ -345,33 +395,33 @@ _SEGMENTS = "array<struct<start:int,end:int,lang:string,confidence:double,words:
 def label(rows: DataFrame, net: Network | None, settings: Settings = Settings()) -> DataFrame:
     """Add `segments` and the message's own `lang` and `confidence` to rows with a column `text`.
 
-    Null and blank texts, and those without a letter, get no segments and nulls; without a network all do.
-    Existing columns of these names are replaced; all others, and repeated rows, are kept.
+    Each distinct text goes through the network once. Null and blank texts, and those without a letter, get no segments and nulls;
+    without a network all do. Existing columns of these names are replaced; all others, and repeated rows, are kept.
     """
     shared = rows.sparkSession.sparkContext.broadcast(net)  # of fixed size, given by the settings
+    names = ("start", "end", "lang", "confidence", "words")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts = f["text"].tolist()
+            found = segments_of(texts, positions(shared.value, texts, settings), settings)
+            langs, sure = [], []
+            for own in found:
+                by: dict[str, float] = {}
+                for s in own:
+                    by[s[2]] = by.get(s[2], 0.0) + s[3] * s[4]
+                langs.append(max(by, key=lambda k: (by[k], k)) if by else None)
+                sure.append(by[langs[-1]] / sum(s[4] for s in own) if by else None)
+            yield pd.DataFrame({"text": texts, "segments": [[dict(zip(names, s)) for s in own] for own in found], "lang": langs, "confidence": sure})
 
-    def run(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for text in frames:
-            codes, distinct = pd.factorize(text)
-            found: list = []
-            if shared.value is not None and len(distinct):
-                for t, prob in zip(distinct, positions(shared.value, list(distinct), settings)):
-                    own = segments(t, prob, settings)
-                    by: dict[str, float] = {}
-                    for s in own:
-                        by[s[2]] = by.get(s[2], 0.0) + s[3] * s[4]
-                    top = max(by, key=lambda k: (by[k], k)) if by else None
-                    found.append((own, top, by[top] / sum(s[4] for s in own) if by else None))
-            found.append(([], None, None))
-            pick = [found[c] if shared.value is not None else found[-1] for c in codes]
-            yield pd.DataFrame({
-                "segments": [[dict(zip(("start", "end", "lang", "confidence", "words"), s)) for s in x[0]] for x in pick],
-                "lang": [x[1] for x in pick], "confidence": [x[2] for x in pick],
-            })
-
-    of = F.pandas_udf(run, f"segments {_SEGMENTS}, lang string, confidence double", F.PandasUDFType.SCALAR_ITER)
     kept = [c for c in rows.columns if c not in ("segments", "lang", "confidence")]
-    return rows.select(*kept, of("text").alias("__found")).select(*kept, "__found.*")
+    rows = rows.select(*kept)
+    none = F.array().cast(_SEGMENTS)
+    if net is None:
+        return rows.select(*kept, none.alias("segments"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"))
+    texts = rows.where(F.rlike("text", F.lit(r"\p{L}"))).select("text").distinct()
+    found = texts.mapInPandas(run, f"text string, segments {_SEGMENTS}, lang string, confidence double")
+    return rows.join(found, "text", "left").select(*kept, F.coalesce("segments", none).alias("segments"), "lang", "confidence")
 
 
 def p6_labels(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
@@ -381,8 +431,15 @@ def p6_labels(spark: SparkSession, sf_dir: str, settings: Settings = Settings())
 
 
 def p6_found(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
-    """Languages of messages whose set of sentence languages isn't just the given label; stretches of four words or more."""
+    """Languages of messages whose set of sentence languages isn't just the given label; stretches of four words or more.
+
+    Texts of fewer words can hold no such stretch and aren't labelled.
+    """
+    messages = table(spark, sf_dir, "messages").select("msg_id", "text", "detected_language")
+    gap = r"[\s\x1c-\x1f]"
+    enough = F.rlike("text", F.lit(rf"(?U)(?:[^\s\x1c-\x1f]+{gap}+){{{settings.least_words - 1}}}[^\s\x1c-\x1f]"))
     long = F.filter("segments", lambda s: s["words"] >= settings.least_words)
-    found = p6_labels(spark, sf_dir, settings).select("msg_id", "detected_language", F.array_distinct(F.transform(long, lambda s: s["lang"])).alias("langs"))
+    found = label(messages.where(enough), fit(sample(messages, settings), settings), settings)
+    found = found.select("msg_id", "detected_language", F.array_distinct(F.transform(long, lambda s: s["lang"])).alias("langs"))
     same = F.coalesce((F.size("langs") == 1) & (F.get("langs", F.lit(0)) == F.col("detected_language")), F.lit(False))
     return found.where((F.size("langs") > 0) & ~same).select("msg_id", F.explode("langs").alias("lang")).distinct()

@@ -33,7 +33,7 @@ def test_held_out_accuracy_and_segments(spark):
     right = [L.LANGUAGES[int(p.mean(0).argmax())] == k for p, (_, k) in zip(probs, test)]
     assert np.mean(right) > 0.95
     mixed = "the truck will arrive tomorrow from yard. আমি তুমি আজ ছবি দেখা করা দরকার"
-    found = L.segments(mixed, L.positions(net, [mixed], s)[0], s)
+    found = L.segments_of([mixed], L.positions(net, [mixed], s), s)[0]
     assert [x[2] for x in found if x[4] >= 4] == ["en", "bn"]
     df = spark.createDataFrame([(1, "the truck will wait near gate", "x"), (2, None, "y"), (3, "", "z"), (4, "12 ?", "q")], "id int, text string, lang string")
     got = {r.id: (r.lang, len(r.segments)) for r in L.label(df, net, s).collect()}
@@ -42,6 +42,28 @@ def test_held_out_accuracy_and_segments(spark):
     assert L.positions(net, [long], s)[0].shape == (len(long), len(L.LANGUAGES))
 
 
+def test_short_cut_agrees_with_the_best_path():
+    rng = np.random.default_rng(5)
+    texts, s = ["eins zwei drei vier fünf. six seven eight — नौ दस ग्यारह", "a b", "", "12 ?"] * 20, L.Settings()
+    probs = [rng.dirichlet(np.full(8, 0.3), len(t.encode())) for t in texts]
+    for t, p, got in zip(texts, probs, L.segments_of(texts, probs, s)):
+        want = []
+        words = L.words_of(t)
+        for k in sorted({w[0] for w in words}):
+            own = [w for w in words if w[0] == k]
+            path = L.best_path(np.array([np.log(np.maximum(p[a:b], 1e-6)).mean(axis=0) for *_, a, b in own]), s.switch_cost)
+            cuts = [0, *(np.flatnonzero(np.diff(path)) + 1), len(own)]
+            want += [(own[x][1], own[y - 1][2], L.LANGUAGES[path[x]], y - x) for x, y in zip(cuts, cuts[1:])]
+        assert [(a, b, lang, n) for a, b, lang, _, n in got] == want and all(0 < x[3] <= 1 for x in got)
+        assert all(t[a:b] == t.encode()[x:y].decode() for _, a, b, x, y in words)
+
+
+def test_plain_states_are_the_states():
+    net = L.Network(8, 3, 1)
+    codes, _, _ = net.pack([b"abc", b"hello there", b"x"])
+    assert np.allclose(net.plain_states(codes), net.states(codes, False)[0], atol=1e-6)
+
+
 def test_without_rows(spark):
     assert L.fit([], L.Settings()) is None
     df = spark.createDataFrame([(1, "some text here now")], "id int, text string")
