@@ -6,22 +6,33 @@ scripts where words are meant.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# Patterns of the kinds of entity looked for in text.
+# Patterns of the kinds of entity looked for in text, several for some kinds; case doesn't matter.
 ENTITY_PATTERNS = {
-    "phone": r"\+?\d[\d\s().-]{8,}\d",
-    "email": r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}",
-    "url": r"(?i)https?://[^\s<>\"]+",
-    "crypto_wallet": r"\b(?:bc1[a-z0-9]{25,59}|[13][a-km-zA-HJ-NP-Z1-9]{25,34}|0x[a-fA-F0-9]{40})\b",
-    "date": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b",
-    "time": r"(?i)\b\d{1,2}:\d{2}(?::\d{2})?(?:\s?[ap]m)?\b",
-    "money": r"(?i)(?:rs\.?|inr|usd|\$|€|£)\s?\d[\d,]*(?:\.\d+)?",
-    "coordinates": r"-?\d{1,3}\.\d{4,},\s?-?\d{1,3}\.\d{4,}",
+    "phone": [r"\+?\d{1,4}[\s-]?\(?\d{1,4}\)?[\s-]?\d{1,4}[\s-]?\d{1,9}", r"\d{10}", r"\d{3}[-.\s]\d{3}[-.\s]\d{4}", r"\+91[\s-]?\d{10}"],
+    "email": [r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"],
+    "url": [r"https?://(?:www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b(?:[-a-zA-Z0-9()@:%_\+.~#?&/=]*)"],
+    "crypto_wallet": [r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b", r"\b0x[a-fA-F0-9]{40}\b"],
+    "date": [r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"\d{4}[/-]\d{1,2}[/-]\d{1,2}"],
+    "time": [r"\d{1,2}:\d{2}(?::\d{2})?(?:\s?[AP]M)?"],
+    "money": [r"[$₹€£]\s?\d+(?:,\d{3})*(?:\.\d{2})?", r"\d+(?:,\d{3})*(?:\.\d{2})?\s?(?:USD|INR|EUR|GBP)"],
+    "location": [r"\d+\s+[A-Za-z\s,]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Circle|Cir|Way)"],
+    "coordinates": [r"[-+]?\d{1,3}\.\d+[,\s]+[-+]?\d{1,3}\.\d+"],
 }
-# Words that make a text suspicious.
-KEYWORDS = ["bitcoin", "crypto", "wallet", "transfer", "cash", "payment", "drug", "weapon", "gun", "delete", "destroy", "hide", "secret", "fake", "passport", "border", "police"]
+# Words with a capital in a row, which may be a name; here case matters.
+POTENTIAL_NAMES = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+# Words that make a message suspicious, and those flagged in transcripts.
+KEYWORDS = ["bomb", "explosive", "drug", "cocaine", "heroin", "weapon", "murder", "kill", "ransom", "bitcoin", "crypto", "hawala", "terror", "jihad", "smuggle", "launder", "bribe"]
+TRANSCRIPT_KEYWORDS = ["crypto", "bitcoin", "wallet", "transfer", "money", "weapon", "gun", "bomb", "drugs", "illegal", "police", "arrest", "hide", "delete", "destroy"]
+# Addresses of wallets, and senders' numbers from abroad.
+WALLET = r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b|0x[a-fA-F0-9]{40}"
+FOREIGN_NUMBER = r"^\+(?!91)[0-9]{1,3}[0-9\s-]+"
 SCRIPTS = {
     "Devanagari": r"\p{IsDevanagari}", "Bengali": r"\p{IsBengali}", "Telugu": r"\p{IsTelugu}", "Tamil": r"\p{IsTamil}", "Gujarati": r"\p{IsGujarati}",
     "Gurmukhi": r"\p{IsGurmukhi}", "Kannada": r"\p{IsKannada}", "Malayalam": r"\p{IsMalayalam}", "Arabic": r"\p{IsArabic}", "Cyrillic": r"\p{IsCyrillic}",
@@ -33,15 +44,34 @@ SCRIPT_LANGUAGES = {"Devanagari": "hi", "Bengali": "bn", "Telugu": "te", "Tamil"
 
 
 def entities(text: Column, kind: str) -> Column:
-    """Distinct matches of a kind, sorted; empty for null."""
-    found = F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[kind]), F.lit(0))
-    return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<string>"))
+    """Distinct matches of a kind ('potential_names' included), sorted; empty for null."""
+    patterns = [POTENTIAL_NAMES] if kind == "potential_names" else [f"(?i){p}" for p in ENTITY_PATTERNS[kind]]
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns]
+    return F.coalesce(F.array_sort(F.array_distinct(F.concat(*found))), F.array().cast("array<string>"))
+
+
+def all_entities(text: Column) -> Column:
+    """Array of (kind, value) of all kinds of entity in a text; empty for null."""
+    def of(kind: str) -> Column:
+        return F.transform(entities(text, kind), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
+    return F.concat(*map(of, (*ENTITY_PATTERNS, "potential_names")))
 
-def keywords_in(text: Column) -> Column:
-    """Keywords that occur in a text as substrings, whatever the case."""
+
+def keywords_in(text: Column, words: list[str] | None = None) -> Column:
+    """Keywords (by default those that make a message suspicious) that occur in a text as substrings, whatever the case."""
     low = F.lower(text)
-    return F.coalesce(F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(low, k)), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.array(*map(F.lit, words or KEYWORDS)), lambda k: F.contains(low, k)), F.array().cast("array<string>"))
+
+
+def suspicious_patterns(text: Column, sender: Column) -> Column:
+    """Array of (pattern_type, pattern_name, severity, confidence): wallets, keywords one by one, senders abroad; empty for nulls."""
+    row = lambda t, n, s, c: F.struct(F.lit(t).alias("pattern_type"), n.alias("pattern_name"), F.lit(s).alias("severity"), F.lit(c).alias("confidence"))
+    none = F.array().cast("array<struct<pattern_type:string,pattern_name:string,severity:string,confidence:double>>")
+    wallet = F.when(F.rlike(text, F.lit(WALLET)), F.array(row("cryptocurrency", F.lit("Crypto Address Detected"), "high", 0.9))).otherwise(none)
+    words = F.transform(keywords_in(text), lambda k: row("suspicious_content", F.concat(F.lit("Keyword: "), k), "medium", 0.7))
+    abroad = F.when(F.rlike(sender, F.lit(FOREIGN_NUMBER)), F.array(row("foreign_contact", F.lit("International Communication"), "low", 0.8))).otherwise(none)
+    return F.concat(wallet, words, abroad)
 
 
 def script_counts(text: Column) -> Column:
@@ -60,9 +90,15 @@ def script_language(script: Column) -> Column:
     return F.coalesce(m[script], F.lit("unknown"))
 
 
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def normalised(text: Column) -> Column:
-    """Plain quotes and dashes, one kind of line end, single blanks, no invisible characters."""
-    t = F.translate(text, "‘’“”–—‐", "''\"\"---")
+    """Composed characters, plain quotes and dashes, one kind of line end, single blanks, no invisible characters."""
+    t = F.when(F.rlike(text, F.lit(r"^[\x00-\x7f]*$")), text).otherwise(_composed(text))
+    t = F.translate(t, "‘’“”–—‐", "''\"\"---")
     t = F.regexp_replace(t, r"[\x{200b}-\x{200d}\x{feff}]", "")
     t = F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"[ \t\x{a0}]+", " ")
     return F.trim(t)
@@ -88,32 +124,16 @@ def seconds_of(text: Column) -> Column:
 
 
 def field_type(value: Column) -> Column:
-    """Kind of a value: uuid, email, datetime, boolean, integer, float, phone, json or text; unknown for null and blank."""
+    """Kind of a string value: uuid, phone, email, datetime or text, the first that fits; unknown for null."""
     v = F.trim(value)
     is_ = lambda p: F.rlike(v, F.lit(p))
     return (
-        F.when(v.isNull() | (v == ""), "unknown").when(is_(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), "uuid").when(is_(r"(?i)^[\w.+-]+@[\w-]+\.[\w.-]+$"), "email")
-        .when(is_(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"), "datetime").when(is_(r"(?i)^(true|false)$"), "boolean").when(is_(r"^\+[\d\s().-]{7,}$|^[\d(][\d\s().-]{9,}$"), "phone")
-        .when(is_(r"^-?\d+$"), "integer").when(is_(r"^-?\d*\.\d+$"), "float").when(is_(r"^[\[{].*[\]}]$"), "json").otherwise("text")
-    )
-
-
-def record_type(keys: Column) -> Column:
-    """Kind of record by its field names: call_log, message, contact or unknown, the first that fits."""
-    has = lambda *names: F.exists(keys, lambda k: F.lit(False) if not names else _any(k, names))
-    return (
-        F.when(has("duration", "call_type", "caller", "callee"), "call_log").when(has("text", "body", "message", "content"), "message")
-        .when(has("name", "email", "phone"), "contact").otherwise("unknown")
+        F.when(v.isNull(), "unknown").when(is_(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), "uuid").when(is_(r"^\+?[0-9]{7,15}$"), "phone")
+        .when(is_(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}$"), "email")
+        .when(is_(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}(T|[ \t\n]+)|[0-9]{2}/[0-9]{2}/[0-9]{4}[ \t\n]+)[0-9]{2}:[0-9]{2}:[0-9]{2}"), "datetime").otherwise("text")
     )
 
 
-def _any(k: Column, names: tuple[str, ...]) -> Column:
-    out = F.contains(F.lower(k), F.lit(names[0]))
-    for n in names[1:]:
-        out = out | F.contains(F.lower(k), F.lit(n))
-    return out
-
-
 def mask_numbers(text: Column) -> Column:
     """Cards, identity numbers and phones replaced by marks, the longest first."""
     t = F.regexp_replace(text, r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", "[CARD]")
@@ -129,35 +149,29 @@ def band(score: Column) -> Column:
     return F.when(score >= 0.9, "high").when(score >= 0.7, "medium").when(score >= 0.5, "low").otherwise("none")
 
 
-# Honorifics and words that are no names.
-HONORIFICS = ["mr", "mrs", "ms", "miss", "dr", "prof", "sir", "shri", "smt", "sri", "adv", "er", "capt", "श्री", "श्रीमती"]
-NOT_NAMES = ["message", "sent", "call", "missed", "hello", "meeting", "today", "tomorrow", "unknown", "number", "private", "the", "and", "please", "photo", "video"]
-
-
-def name_score(text: Column, has_phone: Column) -> Column:
-    """How far a field looks like a person's name, 0 to 1: letters only, few words, capitals, honorific, a number beside it."""
-    t = F.trim(text)
-    words = F.split(F.lower(t), r"\s+")
-    first = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")
-    letters = F.rlike(t, F.lit(r"^[\p{L}\p{M}.' -]+$"))
-    few = F.size(words).between(1, 4)
-    bad = F.arrays_overlap(words, F.array(*map(F.lit, NOT_NAMES)))
-    s = F.lit(0.2) + 0.25 * letters.cast("int") + 0.2 * few.cast("int") + 0.15 * F.rlike(t, F.lit(r"^\p{Lu}|^[^\x00-\x7f]")).cast("int")
-    s = s + 0.1 * first.isin(HONORIFICS).cast("int") + 0.1 * F.coalesce(has_phone, F.lit(False)).cast("int")
-    return F.when(t.isNull() | (t == ""), 0.0).otherwise(F.round(F.when(bad, s - 0.5).otherwise(s), 4))
+# names and their likeness
 
 
-# names and their likeness
+@F.pandas_udf(StringType())
+def _without_marks(names: pd.Series) -> pd.Series:
+    """Lower case, decomposed, without combining marks (accents, signs of vowels)."""
+    known = {n: "".join(c for c in unicodedata.normalize("NFD", n).lower() if not unicodedata.category(c).startswith("M")) for n in names.dropna().unique()}
+    return names.map(known).astype(object).where(names.notna(), None)
 
 
 def plain_name(name: Column) -> Column:
-    """Lower case, letters, digits and blanks only, single blanks; accents on Latin letters stay (see names of the linker)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
+    """Lower case without accents and vowel signs; letters, digits and blanks only, single blanks. Null stays null."""
+    plain = F.when(F.rlike(name, F.lit(r"^[\x00-\x7f]*$")), F.lower(name)).otherwise(_without_marks(name))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
 
 
 def name_similarity(a: Column, b: Column) -> Column:
     """1 if equal, 0.95 if the same words, else 0.6 x share of common words + 0.4 x (1 - edits / longer length); 0 for empty ones."""
-    x, y = plain_name(a), plain_name(b)
+    return plain_similarity(plain_name(a), plain_name(b))
+
+
+def plain_similarity(x: Column, y: Column) -> Column:
+    """name_similarity of two names that have been through plain_name."""
     tx, ty = F.array_distinct(F.split(x, " ")), F.array_distinct(F.split(y, " "))
     both, all_ = F.size(F.array_intersect(tx, ty)), F.size(F.array_union(tx, ty))
     lev = 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))

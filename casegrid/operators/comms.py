@@ -213,9 +213,10 @@ def gaps_between(comms: DataFrame, least_hours: float = 24.0) -> DataFrame:
     return rows.withColumn("gap_hours", hours).where(F.col("gap_hours") > least_hours).select("sender", F.col("before.timestamp").alias("from_at"), F.col("timestamp").alias("to_at"), _r("gap_hours").alias("gap_hours"))
 
 
-def gap_histogram(comms: DataFrame, most_hours: int = 168) -> DataFrame:
-    """Gaps of each sender by whole hours, up to a week."""
-    rows = gaps_between(comms, -1.0).where(F.col("gap_hours") <= most_hours)
+def gap_histogram(comms: DataFrame, most_hours: int | None = None) -> DataFrame:
+    """Gaps of each sender by whole hours, up to most_hours if given."""
+    rows = gaps_between(comms, -1.0)
+    rows = rows.where(F.col("gap_hours") <= most_hours) if most_hours is not None else rows
     return rows.groupBy(F.floor("gap_hours").alias("hours")).agg(F.count("*").alias("n"))
 
 
@@ -284,7 +285,33 @@ def response_statistics(comms: DataFrame) -> DataFrame:
         _r(F.min(m)).alias("least"), _r(F.max(m)).alias("most"))
 
 
-def timeline(comms: DataFrame, limit: int = 100) -> DataFrame:
-    """All communications as one timeline in order, with a short summary; the first `limit` rows."""
+def timeline(comms: DataFrame, limit: int | None = None) -> DataFrame:
+    """All communications as one timeline in order, with a short summary; the first `limit` rows if given."""
     rows = comms.where("timestamp is not null")
-    return rows.select("timestamp", "case_id", "type", "id", F.substring(F.concat_ws(" -> ", "sender", "receiver"), 1, 100).alias("summary")).orderBy("timestamp", "id").limit(limit)
+    rows = rows.select("timestamp", "case_id", "type", "id", F.substring(F.concat_ws(" -> ", "sender", "receiver"), 1, 100).alias("summary")).orderBy("timestamp", "id")
+    return rows.limit(limit) if limit else rows
+
+
+def resampled(comms: DataFrame) -> DataFrame:
+    """Counts of every day, or of every hour if all lies within two days, between the first and the last one, 0 where nothing happened."""
+    span = comms.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).where("lo is not null")
+    hourly = F.unix_micros("hi") - F.unix_micros("lo") <= 2 * 86_400_000_000
+    hours = F.sequence(F.date_trunc("hour", "lo"), F.date_trunc("hour", "hi"), F.expr("interval 1 hour"))
+    days = F.sequence(F.date_trunc("day", "lo"), F.date_trunc("day", "hi"), F.expr("interval 1 day"))
+    all_ = span.select(hourly.alias("hourly"), F.explode(F.when(hourly, hours).otherwise(days)).alias("bucket"))
+    seen = with_scalars(comms.where("timestamp is not null"), span.select(hourly.alias("hourly")))
+    seen = seen.groupBy(F.when(F.col("hourly"), F.date_trunc("hour", "timestamp")).otherwise(F.date_trunc("day", "timestamp")).alias("bucket")).agg(F.count("*").alias("n"))
+    return all_.join(seen, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def voice_islands(frames: DataFrame, share: float = 0.5, keep_open: bool = False) -> DataFrame:
+    """Stretches of frames (source, frame, energy) whose energy exceeds `share` of the source's mean: source, first, last, frames.
+
+    A stretch that runs to the source's last frame is left out unless keep_open. Nulls take no part.
+    """
+    rows = frames.where("source is not null and frame is not null and energy is not null")
+    stats = rows.groupBy("source").agg(F.avg("energy").alias("mean"), F.max("frame").alias("end"))
+    loud = rows.join(stats, "source").where(F.col("energy") > share * F.col("mean")).select("source", "frame", "end")
+    own = loud.withColumn("island", F.col("frame") - F.row_number().over(Window.partitionBy("source").orderBy("frame")))
+    out = own.groupBy("source", "island").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("frames"), F.first("end").alias("end"))
+    return out.where(F.lit(keep_open) | (F.col("last") < F.col("end"))).select("source", "first", "last", "frames")

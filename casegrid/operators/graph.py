@@ -1,15 +1,13 @@
 """Communication graphs: degrees, paths, centralities, components, communities.
 
 Edges are (src, dst, weight), directed, one row per pair; self-loops are allowed. Local measures are joins and aggregates.
-PageRank, eigenvector scores and components iterate joins, cutting lineage at each few rounds. Measures that need all shortest paths
-run per source over an adjacency that is sent to the tasks only behind a check of its size (`MAX_BROADCAST_EDGES`);
-beyond it the frontier is joined with the edges, level by level, for all sources together.
+PageRank, eigenvector scores, components and sums over shortest paths iterate joins, cutting lineage at each round, at every size. Cliques are
+looked for at each vertex among its neighbours. Only the greedy communities hold a component in one task, behind a check of its size.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import deque
 from collections.abc import Iterator
 from itertools import count
 
@@ -19,8 +17,8 @@ from pyspark.sql import functions as F
 
 from casegrid.session import cut, with_scalars
 
-#: Edges an adjacency may have to be sent to every task (about 16 bytes each).
-MAX_BROADCAST_EDGES = 2_000_000
+#: Edges that greedy communities take; larger graphs are refused, label_propagation has no such bound.
+MAX_GREEDY_EDGES = 2_000_000
 
 
 def edges_of(comms: DataFrame, least: int = 1) -> DataFrame:
@@ -85,12 +83,12 @@ def clustering(edges: DataFrame) -> DataFrame:
     return rows.select("id", F.when(d > 1, F.round(2 * t / (d * (d - 1)), 6)).otherwise(0.0).alias("clustering"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Weakly connected component of each vertex, named by its least vertex. Labels spread to neighbours and then jump
     to their label's label, so that the rounds grow with the logarithm of the diameter."""
     links = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).where("u <> v").distinct())
     label = cut(vertices(edges).select("id", F.col("id").alias("c")))
-    for _ in range(rounds):
+    while True:
         near = links.join(label.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("c").alias("m"))
         step = label.join(near.withColumnRenamed("u", "id"), "id", "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
         jump = step.select(F.col("id").alias("n"), F.col("n").alias("nn"))
@@ -98,7 +96,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if not new.where("c <> old").limit(1).count():
             return new.select("id", F.col("c").alias("component"))
         label = new.select("id", "c")
-    return label.select("id", F.col("c").alias("component"))
 
 
 def structure(edges: DataFrame) -> DataFrame:
@@ -173,30 +170,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance
     return rank.select("id", F.round("r", 6).alias("score"))
 
 
-def _power(rows: pd.DataFrame, rounds: int, tolerance: float) -> pd.DataFrame:
-    import numpy as np
-
-    ids, codes = np.unique(np.concatenate([rows["src"], rows["dst"]]), return_inverse=True)
-    a, b, w = codes[: len(rows)], codes[len(rows) :], rows["weight"].to_numpy(dtype=float)
-    x = np.full(len(ids), 1.0 / len(ids))
-    for _ in range(rounds):
-        y = x + np.bincount(b, x[a] * w, len(ids))
-        y /= np.linalg.norm(y) or 1.0
-        if np.abs(y - x).sum() < len(ids) * tolerance:
-            return pd.DataFrame({"id": ids, "score": y.round(6)})
-        x = y
-    return pd.DataFrame({"id": [], "score": []})
-
-
 def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
-    """Weighted eigenvector scores over incoming edges by power iteration; empty if it doesn't settle.
-
-    A graph of at most MAX_BROADCAST_EDGES edges, which is checked, is iterated within one task; a larger one by joins.
-    """
-    edges = cut(edges.select("src", "dst", "weight"))
-    if edges.count() <= MAX_BROADCAST_EDGES:
-        one = edges.groupBy(F.lit(0).alias("g"))
-        return one.applyInPandas(lambda rows: _power(rows, rounds, tolerance), "id string, score double")
+    """Weighted eigenvector scores over incoming edges by power iteration, by joins; empty if it doesn't settle."""
     links = cut(edges.select("src", "dst", "weight"))
     ids = cut(vertices(edges))
     n = ids.count()
@@ -205,75 +180,58 @@ def eigenvector(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-6) -
         got = x.join(links, x.id == links.src).groupBy("dst").agg(F.sum(F.col("x") * F.col("weight")).alias("g"))
         y = cut(x.join(got.withColumnRenamed("dst", "id"), "id", "left").select("id", "x", (F.col("x") + F.coalesce("g", F.lit(0.0))).alias("y")))
         norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
-        y = y.select("id", (F.col("y") / norm).alias("y"), F.abs(F.col("y") / norm - F.col("x")).alias("d"))
-        change = y.agg(F.sum("d")).first()[0]
-        x = cut(y.select("id", F.col("y").alias("x")))
+        change = y.agg(F.sum(F.abs(F.col("y") / norm - F.col("x")))).first()[0]
+        x = y.select("id", (F.col("y") / norm).alias("x"))
         if change < n * tolerance:
             return x.select("id", F.round("x", 6).alias("score"))
     return x.where("false").select("id", F.col("x").alias("score"))
 
 
-def _adjacency(edges: DataFrame) -> dict[str, list[str]]:
-    """Neighbours of each vertex, for graphs whose size is checked."""
-    n = edges.count()
-    if n > MAX_BROADCAST_EDGES:
-        raise ValueError(f"{n} edges are too many to send to every task; use path_sums_by_join")
-    out: dict[str, list[str]] = {r["id"]: [] for r in vertices(edges).collect()}
-    for r in edges.where("src <> dst").select("src", "dst").distinct().collect():
-        out[r["src"]].append(r["dst"])
-    return out
-
+def path_sums(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, b, reach, total) of all shortest paths from the given sources (column id): the sum of each vertex's shares in them, the number
+    of sources that reach it, and its distances from them.
 
-def _brandes(adjacency: dict[str, list[str]], source: str) -> tuple[dict[str, float], dict[str, int]]:
-    order, before, paths, far = [], {source: []}, {source: 1.0}, {source: 0}
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in adjacency[v]:
-            if w not in far:
-                far[w], paths[w], before[w] = far[v] + 1, 0.0, []
-                queue.append(w)
-            if far[w] == far[v] + 1:
-                paths[w] += paths[v]
-                before[w].append(v)
-    share = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in before[w]:
-            share[v] += paths[v] / paths[w] * (1 + share[w])
-    share.pop(source)
-    return share, far
-
-
-def path_measures(edges: DataFrame) -> DataFrame:
+    All sources go level by level together: the frontier with its numbers of paths is joined with the edges, and back again to sum
+    the shares up. Nothing is collected; a level of a graph with a hot vertex is a skewed join, which Spark splits.
+    """
+    links = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    front = cut(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))
+    seen, levels = front.select("s", "id"), [front]
+    while True:
+        step = front.select("s", F.col("id").alias("src"), "paths").join(links, "src").groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        front = cut(step.join(seen, ["s", "id"], "left_anti"))
+        if not front.limit(1).count():
+            break
+        levels.append(front)
+        seen = cut(seen.unionByName(front.select("s", "id")))
+    out = levels[0].select("id", F.lit(0.0).alias("b"), F.lit(0).alias("hop")).where("false")
+    share = None
+    for hop in range(len(levels) - 1, 0, -1):
+        own = levels[hop]
+        own = own.join(share, ["s", "id"], "left").select("s", "id", "paths", F.coalesce("share", F.lit(0.0)).alias("share")) if share is not None else own.withColumn("share", F.lit(0.0))
+        own = cut(own)
+        out = out.unionByName(own.select("id", F.col("share").alias("b"), F.lit(hop).alias("hop")))
+        give = own.select("s", F.col("id").alias("dst"), (((1 + F.col("share")) / F.col("paths"))).alias("per")).join(links, "dst")
+        back = give.groupBy("s", F.col("src").alias("id")).agg(F.sum("per").alias("per"))
+        share = back.join(levels[hop - 1], ["s", "id"]).select("s", "id", (F.col("per") * F.col("paths")).alias("share"))
+    return out.groupBy("id").agg(F.sum("b").alias("b"), F.count("*").alias("reach"), F.sum("hop").alias("total"))
+
+
+def path_measures(edges: DataFrame, block: int = 512) -> DataFrame:
     """Betweenness (directed, unweighted, / ((n-1)(n-2))) and closeness (incoming distances, scaled by reach) of each vertex.
 
-    Sources are spread over tasks; each task keeps one sum per vertex. The graph's size is checked first.
+    Sources go in blocks of about `block`, by a hash, so that what is written per block stays bounded by block x vertices.
     """
     edges = cut(edges.select("src", "dst"))
-    adjacency = _adjacency(edges)
-    n = len(adjacency)
-    shared = edges.sparkSession.sparkContext.broadcast(adjacency)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        between: dict[str, float] = {}
-        dist: dict[str, list[int]] = {}
-        for f in frames:
-            for s in f["id"]:
-                share, far = _brandes(shared.value, s)
-                for v, x in share.items():
-                    between[v] = between.get(v, 0.0) + x
-                for v, d in far.items():
-                    if d:
-                        a = dist.setdefault(v, [0, 0])
-                        a[0] += 1
-                        a[1] += d
-        rows = [(v, between.get(v, 0.0), *dist.get(v, (0, 0))) for v in {*between, *dist}]
-        yield pd.DataFrame(rows, columns=["id", "b", "reach", "total"])
-
-    parts = vertices(edges).repartition(32, "id").mapInPandas(run, "id string, b double, reach long, total long")
-    sums = parts.groupBy("id").agg(F.sum("b").alias("b"), F.sum("reach").alias("reach"), F.sum("total").alias("total"))
-    rows = vertices(edges).join(sums, "id", "left").fillna(0, ["b", "reach", "total"])
+    ids = cut(vertices(edges))
+    n = ids.count()
+    parts = max(1, -(-n // block))
+    sums = None
+    for k in range(parts):
+        own = cut(path_sums(edges, ids.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)))
+        sums = own if sums is None else sums.unionByName(own)
+    sums = sums.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("b", "reach", "total")])
+    rows = ids.join(sums, "id", "left").fillna(0, ["b", "reach", "total"])
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     close = F.when(F.col("total") > 0, F.col("reach") / F.col("total") * F.col("reach") / F.lit(max(n - 1, 1))).otherwise(0.0)
     return rows.select("id", F.round(F.col("b") * scale, 6).alias("betweenness"), F.round(close, 6).alias("closeness"))
@@ -299,25 +257,117 @@ def bridges(edges: DataFrame, n: int = 10) -> DataFrame:
     return rows.select("id", "betweenness", "degree", F.round(F.col("betweenness") / F.log(F.col("degree") + 2), 6).alias("score")).orderBy(F.desc("score"), "id").limit(n)
 
 
+MEASURES = ["degree", "betweenness", "closeness", "pagerank", "eigenvector"]
+
+
 def centralities(edges: DataFrame) -> DataFrame:
-    """All measures of each vertex, their mean, and the rank by it."""
+    """All measures of each vertex, each also as a share of its greatest value (1 where that is 0), their mean, and the rank by it."""
     rows = degrees(edges).select("id", F.col("centrality").alias("degree")).join(path_measures(edges), "id")
     rows = rows.join(pagerank(edges).withColumnRenamed("score", "pagerank"), "id").join(eigenvector(edges).withColumnRenamed("score", "eigenvector"), "id", "left").fillna(0.0)
-    names = ["degree", "betweenness", "closeness", "pagerank", "eigenvector"]
-    mean = sum((F.col(c) for c in names), F.lit(0.0)) / len(names)
-    return rows.withColumn("mean", F.round(mean, 6))
+    rows = cut(rows.withColumn("mean", F.round(sum((F.col(c) for c in MEASURES), F.lit(0.0)) / len(MEASURES), 6)))
+    most = rows.agg(*[F.max(c).alias(f"most_{c}") for c in MEASURES])
+    scaled = with_scalars(rows, most).withColumns({f"{c}_scaled": F.round(F.col(c) / F.when(F.col(f"most_{c}") > 0, F.col(f"most_{c}")).otherwise(1.0), 6) for c in MEASURES})
+    return scaled.drop(*[f"most_{c}" for c in MEASURES]).join(rank_by(rows.select("id", "mean"), "mean").select("id", "rank"), "id")
+
+
+def top_centralities(edges: DataFrame, n: int = 20) -> DataFrame:
+    """The n vertices of the highest mean of all measures, sorted before the cut."""
+    return centralities(edges).select("id", *MEASURES, "mean", "rank").orderBy("rank").limit(n)
+
+
+def network_summary(edges: DataFrame) -> DataFrame:
+    """(Category, Metric, Value) of a graph's structure and of the mean and greatest of degree and PageRank."""
+    from casegrid.sources.sinks import unpivoted
+
+    score = pagerank(edges).agg(F.max("score").alias("max_pagerank"), F.round(F.avg("score"), 6).alias("avg_pagerank"))
+    deg = degrees(edges).agg(F.max("centrality").alias("max_degree_centrality"), F.round(F.avg("centrality"), 6).alias("avg_degree_centrality"))
+    return unpivoted(structure(edges), "structure").unionByName(unpivoted(deg, "degree")).unionByName(unpivoted(score, "pagerank"))
+
+
+def reach_within(links: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, c): vertices reached from start (id, c) along links (u, v, c) of the same colour c, the start included."""
+    seen = front = cut(start.select("id", "c"))
+    while True:
+        step = front.withColumnRenamed("id", "u").join(links, ["u", "c"]).select(F.col("v").alias("id"), "c").distinct()
+        front = cut(step.join(seen, ["id", "c"], "left_anti"))
+        if not front.limit(1).count():
+            return seen
+        seen = cut(seen.unionByName(front))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """Strongly connected component of each vertex, named by its greatest vertex.
+
+    Colours, each vertex's own name at first, spread along edges, the greatest winning, until none changes. What reaches a colour's
+    own vertex backwards within the colour is its component; these vertices are taken out, and the rest begins anew.
+    """
+    left = cut(vertices(edges).select("id"))
+    links = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    out = None
+    while left.limit(1).count():
+        color = cut(left.select("id", F.col("id").alias("c")))
+        while True:
+            come = links.join(color.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.max("c").alias("m")).withColumnRenamed("dst", "id")
+            new = cut(color.join(come, "id", "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old")))
+            color = new.select("id", "c")
+            if not new.where("c <> old").limit(1).count():
+                break
+        ends = links.join(color.withColumnRenamed("id", "src"), "src").join(color.select(F.col("id").alias("dst"), F.col("c").alias("d")), "dst").where("c = d")
+        back = cut(ends.select(F.col("dst").alias("u"), F.col("src").alias("v"), "c"))
+        done = reach_within(back, color.where("id = c")).select("id", F.col("c").alias("component"))
+        out = done if out is None else out.unionByName(done)
+        left = cut(left.join(done.select("id"), "id", "left_anti"))
+        links = cut(links.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    return out if out is not None else left.select("id", F.col("id").alias("component"))
+
+
+def diameter(edges: DataFrame, block: int = 512) -> DataFrame:
+    """One row: the longest of all shortest paths of the undirected graph, null unless it hangs together; sources go in blocks."""
+    pairs = undirected(edges)
+    both = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a")))
+    ids, one = cut(vertices(edges)), edges.sparkSession.range(1)
+    n = ids.count()
+    whole = n > 0 and components(edges).select("component").distinct().limit(2).count() == 1
+    most, parts = 0, max(1, -(-n // block))
+    for k in range(parts if whole else 0):
+        far = distances_by_join(both, ids.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)).agg(F.max("hop")).first()[0]
+        most = max(most, far or 0)
+    return one.select((F.lit(most) if whole else F.lit(None)).cast("int").alias("diameter"))
+
+
+def paths_from(edges: DataFrame, source: str | None = None, n: int | None = None) -> DataFrame:
+    """(id, path, length): a least path from a source to every vertex it reaches, longest first, the source itself left out; the first n
+    if given. Without a source, the vertex of the highest degree (ties by name)."""
+    if source is None:
+        best = degrees(edges).agg(F.min_by("id", F.struct(-F.col("degree"), "id"))).first()[0]
+        source = best if best is not None else ""
+    links = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    seen = front = cut(vertices(edges).where(F.col("id") == source).select("id", F.array("id").alias("path")))
+    while True:
+        step = front.select(F.col("id").alias("src"), "path").join(links, "src").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        front = cut(step.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
+        if not front.limit(1).count():
+            break
+        seen = cut(seen.unionByName(front))
+    rows = seen.where(F.col("id") != source).select("id", "path", (F.size("path") - 1).alias("length")).orderBy(F.desc("length"), "id")
+    return rows.limit(n) if n else rows
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """Communities by label propagation over undirected pairs; ties take the least label. The way for large graphs."""
+def label_propagation(edges: DataFrame) -> DataFrame:
+    """Communities by label propagation over undirected pairs; a vertex votes for its own label too, ties take the least.
+
+    It ends when no label changes, or when labels only go back and forth; then each vertex takes the lesser of its two. The way for large graphs.
+    """
     pairs = undirected(edges)
     links = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")))
-    label = cut(vertices(edges).select("id", F.col("id").alias("c")))
-    for _ in range(rounds):
-        votes = links.join(label.withColumnRenamed("id", "v"), "v").groupBy("u", "c").agg(F.count("*").alias("n"))
-        best = votes.groupBy("u").agg(F.min_by("c", F.struct(-F.col("n"), "c")).alias("b"))
-        label = cut(label.join(best.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("b", "c").alias("c")))
-    return label.select("id", F.col("c").alias("community"))
+    label = cut(vertices(edges).select("id", F.col("id").alias("c"), F.lit(None).cast("string").alias("old")))
+    while True:
+        votes = links.join(label.select(F.col("id").alias("v"), "c"), "v").select("u", "c").unionByName(label.select(F.col("id").alias("u"), "c"))
+        best = votes.groupBy("u", "c").agg(F.count("*").alias("n")).groupBy("u").agg(F.min_by("c", F.struct(-F.col("n"), "c")).alias("b"))
+        new = cut(label.join(best.withColumnRenamed("u", "id"), "id").select("id", F.col("b").alias("c"), F.col("c").alias("old"), F.col("old").alias("older")))
+        if not new.where("c <> old").limit(1).count() or not new.where("not c <=> older").limit(1).count():
+            return new.select("id", F.least("c", "old").alias("community"))
+        label = new.select("id", "c", "old")
 
 
 def greedy_modularity(pairs: list[tuple[str, str]]) -> list[set[str]]:
@@ -358,50 +408,82 @@ def greedy_modularity(pairs: list[tuple[str, str]]) -> list[set[str]]:
     return sorted(members.values(), key=lambda s: (-len(s), min(s)))
 
 
-def maximal_cliques(pairs: list[tuple[str, str]], least: int = 3) -> list[list[str]]:
-    """Maximal cliques of at least `least` vertices, by Bron and Kerbosch with pivots, each sorted."""
-    near: dict[str, set[str]] = {}
-    for a, b in pairs:
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    out, stack = [], [(set(), set(near), set())]
+def maximal_cliques(near: dict[str, set[str]], among: set[str], outside: set[str]) -> list[set[str]]:
+    """Maximal cliques of the vertices in `among` that none of `outside` extends, by Bron and Kerbosch with pivots."""
+    out, stack = [], [(set(), set(among), set(outside))]
     while stack:
         r, p, x = stack.pop()
         if not p and not x:
-            if len(r) >= least:
-                out.append(sorted(r))
+            out.append(r)
             continue
         pivot = max(p | x, key=lambda v: (len(near[v] & p), v))
         for v in sorted(p - near[pivot]):
             stack.append((r | {v}, p & near[v], x & near[v]))
             p = p - {v}
             x = x | {v}
-    return sorted(out)
+    return out
+
+
+def cliques(edges: DataFrame, least: int = 3) -> DataFrame:
+    """(clique, id, size): maximal cliques of the undirected graph with at least `least` (two or more) vertices.
+
+    Vertices are ordered by degree. Each clique is found at its first vertex, among the neighbours behind it, of which there are at most the
+    root of twice the number of edges; neighbours before it only tell whether a clique can be extended. A task holds the triangles at one vertex.
+    """
+    pairs = undirected(edges)
+    deg = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).groupBy("v").agg(F.count("*").alias("d"))
+    both = pairs.join(deg.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
+    up = F.struct("da", "a") < F.struct(F.col("db").alias("da"), F.col("b").alias("a"))
+    o = cut(both.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y")))
+    wedge = o.join(o.select("x", F.col("y").alias("z")), "x").where("y <> z")
+    closed = cut(wedge.join(o.select(F.col("x").alias("y"), F.col("y").alias("z")), ["y", "z"]))  # x before y before z
+    rows = closed.select(F.col("x").alias("v"), F.col("y").alias("a"), F.col("z").alias("b"), F.lit(True).alias("behind"))
+    rows = rows.unionByName(closed.select(F.col("y").alias("v"), F.col("x").alias("a"), F.col("z").alias("b"), F.lit(False).alias("behind")))
+    rows = rows.unionByName(o.select(F.col("x").alias("v"), F.col("y").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(True).alias("behind")))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        v = rows["v"].iat[0]
+        near: dict[str, set[str]] = {}
+        among: set[str] = set()
+        outside: set[str] = set()
+        for a, b, behind in zip(rows["a"], rows["b"], rows["behind"]):
+            near.setdefault(a, set())
+            (among if behind else outside).add(a)
+            if b is not None:
+                near[a].add(b)
+                near.setdefault(b, set()).add(a)
+                among.add(b)
+        found = [sorted(c | {v}) for c in maximal_cliques(near, among, outside) if len(c) + 1 >= least]
+        return pd.DataFrame([(f"{v}-{k}", x, len(c)) for k, c in enumerate(sorted(found)) for x in c], columns=["clique", "id", "size"])
 
+    return rows.groupBy("v").applyInPandas(run, "clique string, id string, size int")
 
-def per_component(edges: DataFrame, kind: str, least: int = 3) -> DataFrame:
-    """Communities ('communities') or maximal cliques ('cliques') of each weak component of a checked size."""
-    big = edges.count()
-    if big > MAX_BROADCAST_EDGES:
-        raise ValueError("the graph is too large for one task per component; use label_propagation or triangles")
-    comp = components(edges)
-    pairs = undirected(edges).join(comp.withColumnRenamed("id", "a"), "a")
+
+def clique_sizes(edges: DataFrame, least: int = 3) -> DataFrame:
+    """Number of maximal cliques of each size."""
+    return cliques(edges, least).select("clique", "size").distinct().groupBy("size").agg(F.count("*").alias("n"))
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(component, number, id, size): communities by greedy modularity. Every merge depends on all before it, so a component is one task."""
+    if (n := edges.count()) > MAX_GREEDY_EDGES:
+        raise ValueError(f"{n} edges are too many for greedy communities; use label_propagation")
+    pairs = undirected(edges).join(components(edges).withColumnRenamed("id", "a"), "a")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = list(zip(rows["a"], rows["b"]))
-        found = [sorted(s) for s in greedy_modularity(own)] if kind == "communities" else maximal_cliques(own, least)
+        found = [sorted(s) for s in greedy_modularity(list(zip(rows["a"], rows["b"])))]
         c = rows["component"].iat[0]
         return pd.DataFrame([(c, i, v, len(g)) for i, g in enumerate(found) for v in g], columns=["component", "number", "id", "size"])
 
     return pairs.groupBy("component").applyInPandas(run, "component string, number int, id string, size int")
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    return per_component(edges, "communities")
-
-
-def cliques(edges: DataFrame, least: int = 3) -> DataFrame:
-    return per_component(edges, "cliques", least)
+def community_subgraphs(edges: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
+    """(community, src, dst, weight): edges inside the communities (labels: id, community) of at least `least` vertices."""
+    big = labels.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    own = cut(labels.join(big.select("community"), "community", "left_semi").select("id", "community"))
+    rows = edges.join(own.withColumnRenamed("id", "src"), "src").join(own.select(F.col("id").alias("dst"), F.col("community").alias("other")), "dst")
+    return rows.where("community = other").select("community", "src", "dst", "weight")
 
 
 def rank_by(scores: DataFrame, column: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegrid.functions import text as T
+from casegrid.session import cut
 
 # Weight of each kind of shared entity in the strength of a link.
 WEIGHTS = {"phone": 0.4, "email": 0.3, "device": 0.5, "location": 0.2, "name": 0.1}
@@ -56,31 +57,37 @@ def compare(a: str, b: str) -> tuple[Column, Column, Column]:
     same = F.arrays_overlap(T.phone_variants(pa), T.phone_variants(pb))
     phone = F.when(pa == pb, 1.0).when(F.coalesce(same, F.lit(False)), 0.9).otherwise(0.0)
     email = F.when((F.length(f"{a}email") > 0) & (F.col(f"{a}email") == F.col(f"{b}email")), 1.0).otherwise(0.0)
-    return F.coalesce(phone, F.lit(0.0)), F.coalesce(T.name_similarity(F.col(f"{a}name"), F.col(f"{b}name")), F.lit(0.0)), F.coalesce(email, F.lit(0.0))
+    return F.coalesce(phone, F.lit(0.0)), F.coalesce(T.plain_similarity(F.col(f"{a}plain"), F.col(f"{b}plain")), F.lit(0.0)), F.coalesce(email, F.lit(0.0))
 
 
 def duplicates(contacts: DataFrame, least: float = 0.7) -> DataFrame:
-    """Pairs of distinct contacts of a case (id_a < id_b) that score at least `least`: 0.6 number + 0.3 name + 0.1 e-mail.
+    """Pairs of contacts (id_a < id_b), of one case or of two, that score at least `least`: 0.6 number + 0.3 name + 0.1 e-mail.
 
-    A score of 0.7 needs the number or, failing that, name and e-mail together can't reach it; so pairs are looked for among
-    equal last ten digits only, which loses none.
+    Contacts of a case equal in name, number and e-mail are one, under the least id, with their number in copies_a and copies_b. Name
+    and e-mail alone can't reach 0.7, so pairs are looked for among equal last ten digits only, which loses none. Contacts without
+    a number are in no pair.
     """
     if least <= 0.4:
         raise ValueError("below 0.4 pairs without a common number could count")
     c = contacts.groupBy("contact_id").agg(F.min(F.struct("case_id", "name", "phone_digits", "email")).alias("r"))
-    c = c.select("contact_id", "r.case_id", F.col("r.name").alias("name"), F.col("r.phone_digits").alias("phone"), F.lower(F.trim("r.email")).alias("email")).where("length(phone) >= 4")
-    key = F.right("phone", F.lit(10)).alias("tail")
-    a = c.select("case_id", key, *[F.col(x).alias(f"a_{x}") for x in ("contact_id", "name", "phone", "email")])
-    b = c.select("case_id", key, *[F.col(x).alias(f"b_{x}") for x in ("contact_id", "name", "phone", "email")])
+    c = c.select("contact_id", "r.case_id", F.col("r.name").alias("name"), F.col("r.phone_digits").alias("phone"), F.lower(F.trim("r.email")).alias("email")).where("length(phone) > 0")
+    c = c.groupBy("case_id", "name", "phone", "email").agg(F.min("contact_id").alias("contact_id"), F.count("*").alias("copies")).withColumn("plain", T.plain_name(F.col("name")))
+    fields = ("contact_id", "case_id", "plain", "phone", "email", "copies")
+    side = lambda x: c.select(F.right("phone", F.lit(10)).alias("tail"), *[F.col(f).alias(f"{x}_{f}") for f in fields])
     p, n, e = compare("a_", "b_")
-    rows = a.join(b, ["case_id", "tail"]).where("a_contact_id < b_contact_id").withColumn("confidence", 0.6 * p + 0.3 * n + 0.1 * e)
+    rows = side("a").join(side("b"), "tail").where("a_contact_id < b_contact_id").withColumn("confidence", 0.6 * p + 0.3 * n + 0.1 * e)
     rows = rows.where(F.col("confidence") >= least)
-    return rows.select("case_id", F.col("a_contact_id").alias("id_a"), F.col("b_contact_id").alias("id_b"), F.round("confidence", 6).alias("confidence"))
+    return rows.select(
+        F.col("a_contact_id").alias("id_a"), F.col("b_contact_id").alias("id_b"), F.col("a_case_id").alias("case_a"), F.col("b_case_id").alias("case_b"),
+        F.col("a_copies").alias("copies_a"), F.col("b_copies").alias("copies_b"), F.round("confidence", 6).alias("confidence"))
 
 
 def greedy_merges(pairs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(case_id, kept, merged, confidence): pairs taken by falling confidence, ties by ids; a contact merged away is not used
-    again. One pass per case over its matching pairs, as the order decides the result."""
+    """(kept, merged, confidence): pairs taken by falling confidence, ties by ids; a contact merged away is not used again.
+
+    The order decides the result, but only among pairs that hang together: each connected component of matching pairs is a pass of its own.
+    """
+    from casegrid.operators.graph import components
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         gone: set[str] = set()
@@ -88,10 +95,12 @@ def greedy_merges(pairs: DataFrame, least: float = 0.8) -> DataFrame:
         for r in rows.sort_values(["confidence", "id_a", "id_b"], ascending=[False, True, True]).itertuples():
             if r.id_a not in gone and r.id_b not in gone:
                 gone.add(r.id_b)
-                out.append((r.case_id, r.id_a, r.id_b, r.confidence))
-        return pd.DataFrame(out, columns=["case_id", "kept", "merged", "confidence"])
+                out.append((r.id_a, r.id_b, r.confidence))
+        return pd.DataFrame(out, columns=["kept", "merged", "confidence"])
 
-    return pairs.where(F.col("confidence") >= least).groupBy("case_id").applyInPandas(run, "case_id string, kept string, merged string, confidence double")
+    good = cut(pairs.where(F.col("confidence") >= least).select("id_a", "id_b", "confidence"))
+    groups = components(good.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
+    return good.join(groups.withColumnRenamed("id", "id_a"), "id_a").groupBy("component").applyInPandas(run, "kept string, merged string, confidence double")
 
 
 def resolution_summary(pairs: DataFrame) -> DataFrame:
@@ -138,13 +147,22 @@ def shared_places(places: DataFrame) -> DataFrame:
 
 
 def near_pairs(places: DataFrame, metres: float, per_degree: float = 111_320.0) -> DataFrame:
-    """Pairs of places (id_a < id_b) of a case within a distance: joined on cells of that size and their neighbours in latitude, then
-    checked exactly. Longitudes are compared only through the distance, so that cells need no wrapping at the poles."""
-    cell = F.floor(F.col("latitude") * per_degree / metres)
-    a = places.select("case_id", F.col("id").alias("id_a"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    b = places.select("case_id", F.col("id").alias("id_b"), F.col("latitude").alias("lb"), F.col("longitude").alias("lp"), cell.alias("cell"))
+    """Pairs of places (id_a < id_b) of a case within a distance, by cells of that size and the eight around, then checked exactly.
+
+    Cells of longitude are as wide as the distance at the end of a band of cells nearer to a pole, and wrap at 180 degrees; a band at a pole is one cell.
+    """
+    band = lambda la: F.floor(la * per_degree / metres)
+    edge = lambda k: F.least(F.greatest(F.abs(k), F.abs(k + 1)) * metres / per_degree, F.lit(90.0))
+    count = lambda k: F.greatest(F.lit(1), F.floor(360.0 * per_degree * F.cos(F.radians(edge(k))) / metres)).cast("long")
+    column = lambda lo, k: F.least(F.floor((lo + 180.0) / 360.0 * count(k)), count(k) - 1)
+    p = places.where("latitude is not null and longitude is not null").select("case_id", "id", F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
+    k = F.col("k")
+    a = p.withColumn("k", F.explode(F.array(*(band(F.col("la")) + i for i in (-1, 0, 1)))))
+    around = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(column(F.col("lo"), k) + i, count(k))))
+    a = a.select("case_id", "k", F.explode(around).alias("m"), F.col("id").alias("id_a"), "la", "lo")
+    b = p.withColumn("k", band(F.col("la"))).select("case_id", "k", column(F.col("lo"), k).alias("m"), F.col("id").alias("id_b"), F.col("la").alias("lb"), F.col("lo").alias("lp"))
     d = haversine(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp"))
-    rows = a.join(b, ["case_id", "cell"]).where(F.col("id_a") < F.col("id_b")).withColumn("metres", d)
+    rows = a.join(b, ["case_id", "k", "m"]).where(F.col("id_a") < F.col("id_b")).withColumn("metres", d)
     return rows.where(F.col("metres") <= metres).select("case_id", "id_a", "id_b", F.round("metres", 3).alias("metres"))
 
 
@@ -157,9 +175,17 @@ def visits(places: DataFrame) -> DataFrame:
 
 
 def clusters(places: DataFrame, metres: float) -> DataFrame:
-    """Greedy clusters of a case's distinct places: the first place by coordinates not yet taken seeds a cluster and takes all
-    free ones within a distance. One pass per case over its distinct places, as the order decides the result."""
-    points = places.where("latitude is not null and longitude is not null").groupBy("case_id", F.round("latitude", 3).alias("latitude"), F.round("longitude", 3).alias("longitude")).agg(F.count("*").alias("visits"))
+    """Greedy clusters of a case's distinct places (to five decimals): the first place by coordinates not yet taken seeds a cluster and
+    takes all free ones within a distance.
+
+    The order decides the result, but only among places that hang together by pairs within the distance: each connected component of them
+    is a pass of its own, and single places are clusters without one. Clusters are named by their seed.
+    """
+    from casegrid.operators.graph import components
+
+    points = places.where("latitude is not null and longitude is not null").groupBy("case_id", F.round("latitude", 5).alias("latitude"), F.round("longitude", 5).alias("longitude")).agg(F.count("*").alias("visits"))
+    points = cut(points.withColumn("id", F.concat_ws("|", "case_id", F.format_string("%.5f", F.col("latitude")), F.format_string("%.5f", F.col("longitude")))))
+    groups = components(near_pairs(points, metres).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -175,7 +201,40 @@ def clusters(places: DataFrame, metres: float) -> DataFrame:
             take = free & (2 * 6371000.0 * np.arcsin(np.sqrt(np.minimum(h, 1))) <= metres)
             free &= ~take
             own = rows[take]
-            out.append((rows["case_id"].iat[0], len(out), round(float(own["latitude"].mean()), 5), round(float(own["longitude"].mean()), 5), int(take.sum()), int(own["visits"].sum())))
-        return pd.DataFrame(out, columns=["case_id", "cluster", "latitude", "longitude", "places", "visits"])
+            out.append((rows["case_id"].iat[0], rows["id"].iat[i], round(float(own["latitude"].mean()), 5), round(float(own["longitude"].mean()), 5), int(take.sum()), int(own["visits"].sum())))
+        return pd.DataFrame(out, columns=["case_id", "seed", "latitude", "longitude", "places", "visits"])
+
+    grouped = points.join(groups, "id", "left")
+    single = grouped.where("component is null").select("case_id", F.col("id").alias("seed"), F.round("latitude", 5).alias("latitude"), F.round("longitude", 5).alias("longitude"), F.lit(1).alias("places"), F.col("visits").cast("int").alias("visits"))
+    rest = grouped.where("component is not null").groupBy("component").applyInPandas(run, "case_id string, seed string, latitude double, longitude double, places int, visits int")
+    return single.unionByName(rest)
+
+
+def cross_case_timeline(messages: DataFrame, calls: DataFrame, places: DataFrame, limit: int | None = None) -> DataFrame:
+    """Messages, calls and places of all cases in order of time (column at), texts cut at 100 characters for show; rows without a time are left out."""
+    m = messages.select("at", "case_id", F.lit("message").alias("kind"), F.col("msg_id").alias("id"), F.substring(F.coalesce("text", F.lit("")), 1, 100).alias("summary"))
+    c = calls.select("at", "case_id", F.lit("call").alias("kind"), F.col("call_id").alias("id"), F.concat(F.coalesce("duration_seconds", F.lit(0)).cast("string"), F.lit("s")).alias("summary"))
+    p = places.select(F.col("timestamp").alias("at"), "case_id", F.lit("location").alias("kind"), F.col("id").cast("string").alias("id"), F.concat_ws(", ", "latitude", "longitude").alias("summary"))
+    rows = m.unionByName(c).unionByName(p).where("at is not null").distinct().orderBy("at", "kind", "id")
+    return rows.limit(limit) if limit else rows
+
+
+def connections(keys: DataFrame) -> DataFrame:
+    """Pairs of cases with the number of keys they share, a strength of a fifth per key up to 1, and the least key."""
+    a, b = keys.withColumnRenamed("case_id", "case_a"), keys.withColumnRenamed("case_id", "case_b")
+    name = F.concat_ws(":", "match_type", "key")
+    per = a.join(b, ["match_type", "key"]).where("case_a < case_b").select("case_a", "case_b", name.alias("name"))
+    rows = per.groupBy("case_a", "case_b").agg(F.count("*").alias("shared"), F.min("name").alias("first_key"))
+    return rows.withColumn("strength", F.round(F.least(F.lit(1.0), F.col("shared") * 0.2), 6))
+
+
+def linked_cases(keys: DataFrame, case_id: str, least: float = 0.5) -> DataFrame:
+    """Cases linked to a case, with kind and strength of the link."""
+    links = case_links(keys, least).where((F.col("case_a") == case_id) | (F.col("case_b") == case_id))
+    return links.select(F.when(F.col("case_a") == case_id, F.col("case_b")).otherwise(F.col("case_a")).alias("case_id"), "link_type", "strength")
+
 
-    return points.groupBy("case_id").applyInPandas(run, "case_id string, cluster int, latitude double, longitude double, places int, visits int")
+def case_network(comms: DataFrame, case_ids: list[str] | None = None) -> DataFrame:
+    """Distinct relationships (case_id, src, dst, type) of cases, not summed up; all cases by default."""
+    rows = comms.where(F.col("case_id").isin(case_ids)) if case_ids is not None else comms
+    return rows.where("length(sender) > 0 and length(receiver) > 0").select("case_id", F.col("sender").alias("src"), F.col("receiver").alias("dst"), "type").distinct()

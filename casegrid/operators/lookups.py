@@ -20,20 +20,34 @@ def like(c: str | Column, text: str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).ilike(f"%{safe}%")
 
 
-def by_suffix(messages: DataFrame, suffix: str, limit: int = 100) -> DataFrame:
-    """Messages whose sender's or receiver's digits end in a suffix of any length, newest text first."""
-    n = len(suffix)
-    hit = (F.right("sender_digits", F.lit(n)) == suffix) | (F.right("receiver_digits", F.lit(n)) == suffix)
-    return messages.where(hit).select("msg_id", "sender_digits", "receiver_digits", "timestamp").distinct().orderBy(F.desc("timestamp"), "msg_id").limit(limit)
+def newest(rows: DataFrame, facts: DataFrame, limit: int, key: str = "msg_id") -> DataFrame:
+    """The `limit` newest rows by the instant that their `timestamp` denotes (column device_id needed), ties by key; rows without one come last.
 
+    facts: zone and system of each device, as operators.timestamps.device_facts gives them. A record delivered twice counts once.
+    """
+    from casegrid.operators.timestamps import with_instant
 
-def by_prefix(messages: DataFrame, prefix: str, limit: int = 100) -> DataFrame:
-    hit = F.col("sender_digits").startswith(prefix) | F.col("receiver_digits").startswith(prefix)
-    return messages.where(hit).select("msg_id", "sender_digits", "receiver_digits").distinct().orderBy("msg_id").limit(limit)
+    one = with_instant(rows, facts).dropDuplicates([key])
+    return one.orderBy(F.desc_nulls_last("utc_ms"), key).limit(limit)
 
 
-def text_search(messages: DataFrame, text: str, limit: int = 100) -> DataFrame:
-    return messages.where(like("text", text)).select("msg_id", "text").distinct().orderBy(F.desc("msg_id")).limit(limit)
+def of_case(rows: DataFrame, case_id: str | None) -> DataFrame:
+    return rows if case_id is None else rows.where(F.col("case_id") == case_id)
+
+
+def by_suffix(messages: DataFrame, suffix: str, case_id: str | None = None) -> DataFrame:
+    """Messages of a case, or of all, whose sender's digits end in a suffix of any length."""
+    return of_case(messages, case_id).where(F.right("sender_digits", F.lit(len(suffix))) == suffix)
+
+
+def by_prefix(messages: DataFrame, prefix: str, case_id: str | None = None) -> DataFrame:
+    """Messages of a case, or of all, whose sender's digits begin with a prefix."""
+    return of_case(messages, case_id).where(F.col("sender_digits").startswith(prefix))
+
+
+def text_search(messages: DataFrame, text: str, case_id: str | None = None) -> DataFrame:
+    """Messages of a case, or of all, whose text holds a text, whatever the case of letters."""
+    return of_case(messages, case_id).where(like("text", text))
 
 
 def call_summary(calls: DataFrame) -> DataFrame:
@@ -52,11 +66,11 @@ def find_contacts(contacts: DataFrame, case_ids: list[str], name: str | None = N
     return rows.select("contact_id", text.alias("document")).distinct().orderBy("contact_id", "document").limit(limit)
 
 
-def search_messages(messages: DataFrame, case_ids: list[str], keyword: str | None = None, sender: str | None = None, limit: int = 50) -> DataFrame:
+def search_messages(messages: DataFrame, case_ids: list[str], keyword: str | None = None, sender: str | None = None) -> DataFrame:
+    """Messages of cases by parts of text and sender."""
     rows = messages.where(F.col("case_id").isin(case_ids))
     rows = rows.where(like("text", keyword)) if keyword else rows
-    rows = rows.where(like("sender_digits", sender)) if sender else rows
-    return rows.select("msg_id", "sender_digits", "text").distinct().orderBy(F.desc("msg_id")).limit(limit)
+    return rows.where(like("sender_digits", sender)) if sender else rows
 
 
 def endpoints(messages: DataFrame, calls: DataFrame) -> DataFrame:
@@ -198,3 +212,37 @@ def latest_days(rows: DataFrame, at: str, days: int) -> DataFrame:
     """Rows of the last days before the newest row, rather than before now."""
     last = rows.agg(F.max(at).alias("__last"))
     return with_scalars(rows, last).where(F.col(at) >= F.col("__last") - F.make_dt_interval(F.lit(days))).drop("__last")
+
+
+def search_entities(entities: DataFrame, media: DataFrame, case_id: str, kind: str | None = None, value: str | None = None) -> DataFrame:
+    """Entities (id, kind, value) found in enhanced media of a case, with the file they come from, by kind and a part of the value."""
+    rows = entities.join(media.select("id", "case_id", "file_path", "media_type").distinct(), "id").where(F.col("case_id") == case_id)
+    rows = rows.where(F.col("kind") == kind) if kind else rows
+    rows = rows.where(like("value", value)) if value else rows
+    return rows.select("id", "file_path", "media_type", "kind", "value").distinct()
+
+
+def wallets_in(messages: DataFrame) -> DataFrame:
+    """(msg_id, wallet): addresses of wallets that messages refer to."""
+    from casegrid.functions.text import entities
+
+    return messages.select("msg_id", F.explode(entities(F.col("text"), "crypto_wallet")).alias("wallet")).distinct()
+
+
+def case_samples(messages: DataFrame, contacts: DataFrame, calls: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
+    """(case_id, kind, id): of each case 50 contacts, 100 messages and 50 calls, those of the least hash, the same every time."""
+    sizes = sizes or {"contact": 50, "message": 100, "call": 50}
+    parts = {"contact": contacts.select("case_id", F.col("contact_id").alias("id")), "message": messages.select("case_id", F.col("msg_id").alias("id")), "call": calls.select("case_id", F.col("call_id").alias("id"))}
+    out = None
+    for kind, rows in parts.items():
+        few = sample_rows(rows.where("case_id is not null").distinct(), "case_id", "id", sizes[kind]).select("case_id", F.lit(kind).alias("kind"), "id")
+        out = few if out is None else out.unionByName(few)
+    return out
+
+
+# Words by which a cross-case report looks for dealings in crypto currency.
+CRYPTO_WORDS = ["bitcoin", "crypto", "wallet", "btc", "eth", "blockchain", "usdt"]
+
+
+def crypto_messages(messages: DataFrame) -> DataFrame:
+    return messages.where(F.rlike(F.lower("text"), F.lit("|".join(CRYPTO_WORDS)))).select("case_id", "msg_id").distinct()

@@ -130,7 +130,7 @@ w as (select day, n, row_number() over (order by day) as i, avg(n) over (order b
 select w.day, n, participants, round((n - mean) / std, 6) as z, round((n - mean) / mean * 100, 6) as change_pct from w join p on w.day = p.day where i > 7 and std > 0 and abs((n - mean) / std) > 1.5""",
     "p_anomaly_summary": _C + """select count(*) as n, round(avg(case when hour("timestamp") >= 23 or hour("timestamp") <= 5 then 1.0 else 0.0 end) * 100, 6) as late_night_pct,
  round(avg(case when isodow("timestamp") >= 6 then 1.0 else 0.0 end) * 100, 6) as weekend_pct from comms""",
-    "p_gap_histogram": _C + _GAPS + "select cast(floor(gap_hours) as bigint) as hours, count(*) as n from gaps where gap_hours <= 168 group by 1",
+    "p_gap_histogram": _C + _GAPS + "select cast(floor(gap_hours) as bigint) as hours, count(*) as n from gaps group by 1",
     "p_zero_filled_daily": _C + _DAYS + """select cast(g.day as date) as day, coalesce(n, 0) as n from (select unnest(generate_series((select min(day) from days)::timestamp, (select max(day) from days)::timestamp, interval 1 day)) as day) g left join days d on d.day = cast(g.day as date)""",
     "p_temporal_evolution": _C + """, s as (select min(epoch_us("timestamp")) as lo, max(epoch_us("timestamp")) as hi from comms where length(sender) > 0 and length(receiver) > 0),
 x as (select *, cast(floor((epoch_us("timestamp") - lo) * 10 / (hi - lo)) as int) as w from comms, s where length(sender) > 0 and length(receiver) > 0),
@@ -139,5 +139,5 @@ n as (select w, count(distinct c) as nodes from (select w, sender as c from x wh
 select e.w as "window", nodes, edges, round(case when nodes > 1 then edges / (nodes * (nodes - 1)) else 0.0 end, 6) as density, n.n as n from e join (select n.*, e2.n from n join e e2 on n.w = e2.w) n on e.w = n.w""",
     "p_volume_histogram": _C + """, v as (select date_trunc('hour', "timestamp") as h, count(*) as v from comms group by 1), s as (select min(v) as lo, max(v) as hi from v)
 select cast(least(floor((v - lo) * 50 / greatest(hi - lo, 1)), 49) as int) as bin, count(*) as n from v, s group by 1""",
-    "p_timeline": _C + """select "timestamp", case_id, type, id, substr(sender || ' -> ' || receiver, 1, 100) as summary from comms order by "timestamp", id limit 100""",
+    "p_timeline": _C + """select "timestamp", case_id, type, id, substr(sender || ' -> ' || receiver, 1, 100) as summary from comms where "timestamp" is not null""",
 }

@@ -31,7 +31,16 @@ QUERIES = {
     "g12_all_components": _g(G.components),
     "g12_clustering": _g(G.clustering, least=3),
     "g12_all_clustering": _g(G.clustering),
+    "g12_strong_components": _g(G.strong_components, least=3),
+    "g12_all_strong_components": _g(G.strong_components),
+    "g12_diameter": _g(G.diameter),
+    "g11_paths_from": _g(G.paths_from, "7"),
+    "g22_paths_from_hub": _g(G.paths_from),
     "g13_hierarchy": _g(G.hierarchy),
+    "g15_clique_sizes": _g(G.clique_sizes),
+    "g18_community_subgraphs": _g(lambda e: G.community_subgraphs(e, G.label_propagation(e))),
+    "g20_top_centralities": _g(G.top_centralities),
+    "a18_network_summary": _g(G.network_summary),
     "g15_component_sizes": _g(G.component_sizes, least=5),
     "g15_all_component_sizes": _g(G.component_sizes),
     "g17_hops": _g(G.hops, "7", 2, least=3),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from casegrid.functions import text as T
 from casegrid.operators import lookups as L
+from casegrid.operators.timestamps import device_facts
 from casegrid.session import table
 
 
@@ -58,13 +61,49 @@ def _set_ops(spark, d):
     return a.intersect(b).select("x", F.lit("both").alias("side")).union(a.exceptAll(a.intersect(b)).distinct().join(b.distinct(), "x", "left_anti").select("x", F.lit("messages").alias("side")))
 
 
+def _newest(spark, d, rows, limit=100):
+    facts = device_facts(table(spark, d, "devices"), table(spark, d, "device_zones"))
+    return L.newest(rows, facts, limit).select("msg_id", "utc_ms")
+
+
+def _found(spark, d):
+    return L.search_messages(table(spark, d, "messages"), ["CS-00000000", "CS-00000002"], "the", "91")
+
+
+def _media_entities(spark, d):
+    m = table(spark, d, "media_enhancements")
+    found = m.select("id", F.explode(T.entities(F.col("extracted_text"), "email")).alias("value")).select("id", F.lit("email").alias("kind"), "value")
+    return L.search_entities(found, m, "CS-00000000", "email", "EXAMPLE")
+
+
+def _scaled(spark, d):
+    """Messages and calls of each case as shares of the most of any case."""
+    n = _count_records(spark, d).where(F.col("type").isin("message", "call"))
+    return n.select("case_id", "type", F.round(F.col("n") / F.greatest(F.max("n").over(Window.partitionBy("type")), F.lit(1)), 6).alias("share"))
+
+
+def _totals(spark, d):
+    """Rows of each kind, of each case and in all (nulls), by a cube."""
+    return _count_records(spark, d).cube("case_id", "type").agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+
+
 QUERIES = {
-    "q6_by_suffix": _m(L.by_suffix, "25"),
-    "q7_by_prefix": _m(L.by_prefix, "9184"),
-    "q8_text_search": _m(L.text_search, "RECEIPT"),
+    "q6_by_suffix": lambda s, d: L.by_suffix(table(s, d, "messages"), "2", "CS-00000000").select("msg_id", "sender_digits", "timestamp").distinct(),
+    "q6_newest": lambda s, d: _newest(s, d, L.by_suffix(table(s, d, "messages"), "25")),
+    "q7_by_prefix": lambda s, d: L.by_prefix(table(s, d, "messages"), "9184").select("msg_id", "sender_digits").distinct(),
+    "q8_text_search": lambda s, d: L.text_search(table(s, d, "messages"), "RECEIPT").select("msg_id", "text").distinct(),
+    "q8_newest": lambda s, d: _newest(s, d, L.text_search(table(s, d, "messages"), "RECEIPT")),
     "q9_call_summary": _on("calls", L.call_summary),
     "q10_find_contacts": _on("contacts", L.find_contacts, ["CS-00000000", "CS-00000001"], "a", "9"),
-    "q11_search_messages": _m(L.search_messages, ["CS-00000000", "CS-00000002"], "the", "91"),
+    "q11_search_messages": lambda s, d: _found(s, d).select("msg_id", "sender_digits", "text").distinct(),
+    "q11_newest": lambda s, d: _newest(s, d, _found(s, d), 50),
+    "q14_search_entities": _media_entities,
+    "t8_case_samples": lambda s, d: L.case_samples(*(table(s, d, t) for t in ("messages", "contacts", "calls"))).groupBy("kind").agg(F.count("*").alias("n")),
+    "t10_sample": lambda s, d: L.sample_rows(table(s, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("source")), "source", "doc_id", 20).groupBy("source").agg(F.count("*").alias("n")),
+    "v8_wallets": _on("messages", L.wallets_in),
+    "x10_crypto_messages": _on("messages", L.crypto_messages),
+    "w10_scaled_by_most": _scaled,
+    "a18_totals": _totals,
     "q12_count_records": _count_records,
     "q13_case_summary": lambda s, d: table(s, d, "cases").join(_count_records(s, d).groupBy("case_id").agg(F.sum("n").alias("records")), "case_id", "left").select("case_id", F.coalesce("records", F.lit(0)).alias("records")),
     "q15_ego_targets": _ego,
@@ -128,13 +167,20 @@ def _shared_sql(c: str) -> str:
 
 
 SQL = {
-    "q6_by_suffix": "select distinct msg_id, sender_digits, receiver_digits, \"timestamp\" from messages where sender_digits like '%25' or receiver_digits like '%25' order by \"timestamp\" desc nulls last, msg_id limit 100",
-    "q7_by_prefix": "select distinct msg_id, sender_digits, receiver_digits from messages where sender_digits like '9184%' or receiver_digits like '9184%' order by msg_id limit 100",
-    "q8_text_search": "select distinct msg_id, text from messages where text ilike '%receipt%' order by msg_id desc limit 100",
+    "q6_by_suffix": "select distinct msg_id, sender_digits, \"timestamp\" from messages where sender_digits like '%2' and case_id = 'CS-00000000'",
+    "q7_by_prefix": "select distinct msg_id, sender_digits from messages where sender_digits like '9184%'",
+    "q8_text_search": "select distinct msg_id, text from messages where text ilike '%receipt%'",
+    "t8_case_samples": """select kind, cast(sum(least(n, m)) as bigint) as n from (select case_id, 'message' as kind, count(distinct msg_id) as n, 100 as m from messages where case_id is not null group by 1
+ union all select case_id, 'contact', count(distinct contact_id), 50 from contacts where case_id is not null group by 1 union all select case_id, 'call', count(distinct call_id), 50 from calls where case_id is not null group by 1) group by 1""",
+    "t10_sample": "select source, least(count(*), 20) as n from (select lower(trim(source, ' ')) as source from documents) group by 1",
+    "v8_wallets": "with w as (select msg_id, unnest(list_distinct(regexp_extract_all(text, '(?i)\\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\\b') || regexp_extract_all(text, '(?i)\\b0x[a-fA-F0-9]{40}\\b'))) as wallet from messages) select distinct msg_id, wallet from w",
+    "x10_crypto_messages": "select distinct case_id, msg_id from messages where regexp_matches(lower(text), '" + "|".join(L.CRYPTO_WORDS) + "')",
+    "w10_scaled_by_most": f"select case_id, type, round(n / max(n) over (partition by type), 6) as share from ({_COUNTS}) where type in ('message', 'call')",
+    "a18_totals": f"select case_id, type, cast(sum(n) as bigint) as n, cast(grouping(case_id, type) as bigint) as level from ({_COUNTS}) group by cube (case_id, type)",
     "q9_call_summary": "select case_id, count(*) as n, cast(sum(duration_seconds) as bigint) as total, round(avg(duration_seconds), 6) as mean, max(duration_seconds) as longest from calls group by 1",
     "q10_find_contacts": """select distinct contact_id, 'Contact: ' || coalesce(name, 'Unknown') || ', Phone: ' || coalesce(phone_raw, 'N/A') as document from contacts
  where case_id in ('CS-00000000', 'CS-00000001') and name ilike '%a%' and phone_digits ilike '%9%' order by contact_id, document limit 100""",
-    "q11_search_messages": "select distinct msg_id, sender_digits, text from messages where case_id in ('CS-00000000', 'CS-00000002') and text ilike '%the%' and sender_digits like '%91%' order by msg_id desc limit 50",
+    "q11_search_messages": "select distinct msg_id, sender_digits, text from messages where case_id in ('CS-00000000', 'CS-00000002') and text ilike '%the%' and sender_digits like '%91%'",
     "q12_count_records": _COUNTS,
     "q13_case_summary": f"select c.case_id, cast(coalesce(r.n, 0) as bigint) as records from cases c left join (select case_id, sum(n) as n from ({_COUNTS}) group by 1) r on c.case_id = r.case_id",
     "q15_ego_targets": _NAMES + f"""select distinct e.digits, coalesce(n.name, e.digits) as label from ({_ENDS}) e left join names n on e.case_id = n.case_id and e.digits = n.digits

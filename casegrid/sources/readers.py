@@ -9,7 +9,6 @@ from __future__ import annotations
 import io
 import sqlite3
 import tarfile
-import tempfile
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -147,8 +146,8 @@ def changed_members(stored: DataFrame, now: DataFrame) -> DataFrame:
     return rows.where(~F.equal_null("stored_hash", "sha256_hash"))
 
 
-def entropy(content: Column, most: int = 8192) -> Column:
-    """Bits per byte of the first bytes of binary content; above 7.5 it is likely encrypted or packed."""
+def entropy(content: Column, most: int | None = None) -> Column:
+    """Bits per byte of binary content, or of its first `most` bytes; above 7.5 it is likely encrypted or packed."""
 
     @F.pandas_udf("double")
     def of(s: pd.Series) -> pd.Series:
@@ -157,7 +156,7 @@ def entropy(content: Column, most: int = 8192) -> Column:
         def one(b) -> float | None:
             if b is None:
                 return None
-            n = np.bincount(np.frombuffer(bytes(b[:most]), np.uint8), minlength=256)
+            n = np.bincount(np.frombuffer(bytes(b if most is None else b[:most]), np.uint8), minlength=256)
             p = n[n > 0] / max(1, n.sum())
             return float(-(p * np.log2(p)).sum())
 
@@ -215,8 +214,3 @@ def common_columns(source: DataFrame, target: list[str], case_id: str) -> DataFr
     """The columns a source shares with a target, in the target's order, under one case_id."""
     own = [c for c in target if c in source.columns and c != "case_id"]
     return source.select(*own, F.lit(case_id).alias("case_id"))
-
-
-def tempfolder() -> str:
-    """A folder for tests in local mode."""
-    return tempfile.mkdtemp(prefix="casegrid-")
