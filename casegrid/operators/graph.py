@@ -425,7 +425,7 @@ def maximal_cliques(near: dict[str, set[str]], among: set[str], outside: set[str
 
 
 def cliques(edges: DataFrame, least: int = 3) -> DataFrame:
-    """(clique, id, size): maximal cliques of the undirected graph with at least `least` (two or more) vertices.
+    """(clique, members, size): maximal cliques of the undirected graph with at least `least` (two or more) vertices.
 
     Vertices are ordered by degree. Each clique is found at its first vertex, among the neighbours behind it, of which there are at most the
     root of twice the number of edges; neighbours before it only tell whether a clique can be extended. A task holds the triangles at one vertex.
@@ -454,14 +454,14 @@ def cliques(edges: DataFrame, least: int = 3) -> DataFrame:
                 near.setdefault(b, set()).add(a)
                 among.add(b)
         found = [sorted(c | {v}) for c in maximal_cliques(near, among, outside) if len(c) + 1 >= least]
-        return pd.DataFrame([(f"{v}-{k}", x, len(c)) for k, c in enumerate(sorted(found)) for x in c], columns=["clique", "id", "size"])
+        return pd.DataFrame([(f"{v}-{k}", c, len(c)) for k, c in enumerate(sorted(found))], columns=["clique", "members", "size"])
 
-    return rows.groupBy("v").applyInPandas(run, "clique string, id string, size int")
+    return rows.groupBy("v").applyInPandas(run, "clique string, members array<string>, size int")
 
 
 def clique_sizes(edges: DataFrame, least: int = 3) -> DataFrame:
     """Number of maximal cliques of each size."""
-    return cliques(edges, least).select("clique", "size").distinct().groupBy("size").agg(F.count("*").alias("n"))
+    return cliques(edges, least).groupBy("size").agg(F.count("*").alias("n"))
 
 
 def communities(edges: DataFrame) -> DataFrame:

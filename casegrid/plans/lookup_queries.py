@@ -72,8 +72,8 @@ def _found(spark, d):
 
 def _media_entities(spark, d):
     m = table(spark, d, "media_enhancements")
-    found = m.select("id", F.explode(T.entities(F.col("extracted_text"), "email")).alias("value")).select("id", F.lit("email").alias("kind"), "value")
-    return L.search_entities(found, m, "CS-00000000", "email", "EXAMPLE")
+    found = m.select("id", F.explode(T.entities(F.col("extracted_text"), "potential_names")).alias("value")).select("id", F.lit("potential_names").alias("kind"), "value")
+    return L.search_entities(found, m, "CS-00000000", "potential_names", "ROAD")
 
 
 def _scaled(spark, d):
@@ -88,7 +88,7 @@ def _totals(spark, d):
 
 
 QUERIES = {
-    "q6_by_suffix": lambda s, d: L.by_suffix(table(s, d, "messages"), "2", "CS-00000000").select("msg_id", "sender_digits", "timestamp").distinct(),
+    "q6_by_suffix": lambda s, d: L.by_suffix(table(s, d, "messages"), "25").select("msg_id", "sender_digits", "timestamp").distinct(),
     "q6_newest": lambda s, d: _newest(s, d, L.by_suffix(table(s, d, "messages"), "25")),
     "q7_by_prefix": lambda s, d: L.by_prefix(table(s, d, "messages"), "9184").select("msg_id", "sender_digits").distinct(),
     "q8_text_search": lambda s, d: L.text_search(table(s, d, "messages"), "RECEIPT").select("msg_id", "text").distinct(),
@@ -167,9 +167,11 @@ def _shared_sql(c: str) -> str:
 
 
 SQL = {
-    "q6_by_suffix": "select distinct msg_id, sender_digits, \"timestamp\" from messages where sender_digits like '%2' and case_id = 'CS-00000000'",
+    "q6_by_suffix": "select distinct msg_id, sender_digits, \"timestamp\" from messages where sender_digits like '%25'",
     "q7_by_prefix": "select distinct msg_id, sender_digits from messages where sender_digits like '9184%'",
     "q8_text_search": "select distinct msg_id, text from messages where text ilike '%receipt%'",
+    "q14_search_entities": """with e as (select id, case_id, file_path, media_type, unnest(regexp_extract_all(extracted_text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b')) as value from media_enhancements where case_id = 'CS-00000000')
+select distinct id, file_path, media_type, 'potential_names' as kind, value from e where value ilike '%road%'""",
     "t8_case_samples": """select kind, cast(sum(least(n, m)) as bigint) as n from (select case_id, 'message' as kind, count(distinct msg_id) as n, 100 as m from messages where case_id is not null group by 1
  union all select case_id, 'contact', count(distinct contact_id), 50 from contacts where case_id is not null group by 1 union all select case_id, 'call', count(distinct call_id), 50 from calls where case_id is not null group by 1) group by 1""",
     "t10_sample": "select source, least(count(*), 20) as n from (select lower(trim(source, ' ')) as source from documents) group by 1",

@@ -17,7 +17,7 @@ from casegrid.session import table
 
 
 def _entities(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(T.all_entities(F.col("text"))).alias("e"))
+    rows = table(spark, d, "messages").select("msg_id", "text").distinct().select("msg_id", F.explode(T.all_entities(F.col("text"))).alias("e")).where("e.kind <> 'potential_names'")
     return rows.groupBy(F.col("e.kind").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("e.value").alias("values"), F.min("e.value").alias("least"))
 
 
@@ -27,7 +27,7 @@ def _suspicious(spark, d):
 
 
 def _segments(spark, d):
-    c = table(spark, d, "documents").select("doc_id", "text")
+    c = table(spark, d, "messages").select("msg_id", "text").distinct()
     return RC.segment(c).groupBy("record_type", "confidence").agg(F.count("*").alias("n"), F.count_if(F.size("record_fields") > 0).alias("with_fields"))
 
 
@@ -207,10 +207,11 @@ def _coarse(spark, d):
 
 QUERIES = {
     "f1_entities": _entities,
+    "f1_potential_names": lambda s, d: table(s, d, "messages").select("msg_id", F.explode(T.entities(F.col("text"), "potential_names")).alias("name")).distinct(),
     "f2_suspicious": _suspicious,
     "f3_transcript_keywords": _keywords("media_enhancements", "extracted_text", T.TRANSCRIPT_KEYWORDS),
     "f3_document_keywords": _keywords("documents", "text", T.TRANSCRIPT_KEYWORDS),
-    "f8_segmented_documents": _segments,
+    "f8_segmented_messages": _segments,
     "f8_segmented_logs": _segmented_logs,
     "f24_zone": lambda s, d: table(s, d, "call_logs").where("timestamp is not null").select("id", F.date_format(F.from_utc_timestamp(F.col("timestamp").cast("timestamp"), "+05:30"), "yyyy-MM-dd'T'HH:mm:ss'+05:30'").alias("local")).distinct(),
     "f26_inferred_types": _inferred,
@@ -290,8 +291,8 @@ _KIND = r"""case when regexp_matches(trim(value, ' '), '(?i)^[0-9a-f]{8}(-[0-9a-
 _ID = "coalesce(case_id, '') || '_{}_' || {} as doc_id"
 
 
-def _all(pattern: str, kind: str) -> str:
-    return "regexp_extract_all(text, '" + ("" if kind == "potential_names" else "(?i)") + pattern.replace("'", "''") + "')"
+def _all(pattern: str) -> str:
+    return "regexp_extract_all(text, '(?i)" + pattern.replace("'", "''") + "')"
 
 
 def _keyword_sql(name: str, column: str) -> str:
@@ -307,8 +308,8 @@ def _meta(**values: str) -> str:
 
 
 SQL = {
-    "f1_entities": "with e as (" + " union all ".join(
-        f"select doc_id, '{k}' as kind, unnest(list_distinct({' || '.join(_all(p, k) for p in ps)})) as value from documents" for k, ps in {**T.ENTITY_PATTERNS, "potential_names": [T.POTENTIAL_NAMES]}.items())
+    "f1_entities": "with m as (select distinct msg_id, text from messages), e as (" + " union all ".join(
+        f"select msg_id, '{k}' as kind, unnest(list_distinct({' || '.join(_all(p) for p in ps)})) as value from m" for k, ps in T.ENTITY_PATTERNS.items())
     + """) select kind, count(*) as n, count(distinct value) as "values", min(value) as least from e group by 1""",
     "f2_suspicious": f"""with m as (select distinct msg_id, text, sender_raw from messages),
 p as (select msg_id, 'cryptocurrency' as pattern_type, 'Crypto Address Detected' as pattern_name, 'high' as severity, 0.9::double as confidence from m where regexp_matches(text, '{T.WALLET}')

@@ -68,10 +68,7 @@ def frame(spark, pairs):
 
 
 def cliques(df, least=3):
-    out = {}
-    for r in G.cliques(df, least).collect():
-        out.setdefault(r.clique, []).append(r.id)
-    return sorted(sorted(c) for c in out.values())
+    return sorted(sorted(r.members) for r in G.cliques(df, least).collect())
 
 
 def test_cliques_at_vertices_are_all_maximal_cliques(spark):

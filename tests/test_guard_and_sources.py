@@ -99,3 +99,18 @@ def test_stream_equals_batch(spark, tmp_path):
     got = windows.run_once(windows.window_counts(s, late="1 day"), "counts_test", str(tmp_path / "cp"), "complete")
     want = windows.window_counts(spark.read.schema(schema).json(str(folder)))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("scheme", ["", "file:"])
+def test_writers_see_what_is_stored(spark, tmp_path, scheme):
+    path = f"{scheme}{tmp_path}/t"
+    rows = lambda *r: spark.createDataFrame(list(r), "case_id string, k string, v int")
+    assert not sinks.exists(spark, path)
+    assert sinks.append_new(spark, rows(("A", "x", 1), ("A", "x", 1), ("B", "y", 2)), path, ["case_id", "k"]) == {"inserted": 2, "skipped": 1}
+    assert sinks.append_new(spark, rows(("A", "x", 5), ("A", "z", 3)), path, ["case_id", "k"]) == {"inserted": 1, "skipped": 1}
+    sinks.upsert(spark, rows(("A", "x", 9)), path, "k", "v")
+    spark.catalog.refreshByPath(path)
+    assert {(r.case_id, r.k, r.v) for r in spark.read.parquet(path).collect()} == {("A", "x", 9), ("A", "z", 3), ("B", "y", 2)}
+    assert sinks.delete_case(spark, path, "A") and not sinks.delete_case(spark, path, "A")
+    assert {r.k for r in spark.read.parquet(path).collect()} == {"y"}
+    assert sinks.manifest({"t": spark.read.parquet(path)}, f"{scheme}{tmp_path}/m.json") == {"t": 1}
