@@ -5,7 +5,7 @@ uses, weighted so that all levels count alike, has been reached. A document's le
 grades of its known words, by a regression calibrated on graded documents, and monotone recalibration to their scale.
 
 The model is fitted on a bounded sample of graded documents (`Settings.max_documents`, chosen by a hash of the id) and
-holds at most `Settings.max_words` words; everything else runs over whole texts of all documents.
+holds their words, all that occur in enough of them; everything else runs over whole texts of all documents.
 """
 
 from __future__ import annotations
@@ -24,10 +24,9 @@ from casegrid.session import table
 
 @dataclass(frozen=True)
 class Settings:
-    """max_documents and max_words bound the sample and the model; the rest shapes the estimate."""
+    """max_documents bounds the sample, and so the model; the rest shapes the estimate."""
 
     max_documents: int = 20_000
-    max_words: int = 100_000
     least_documents: int = 3
     acquired: float = 0.25
     levels: int = 5
@@ -134,7 +133,7 @@ def fit(labels: DataFrame, documents: DataFrame, settings: Settings = Settings()
             return None
         per = rows.select("level", "n", F.explode("words").alias("word")).groupBy("word", "level").agg(F.sum("n").alias("n"))
         best = per.groupBy("word").agg(F.sum("n").alias("all"), F.collect_list(F.struct("level", "n")).alias("by"))
-        best = best.where(F.col("all") >= settings.least_documents).orderBy(F.desc("all"), "word").limit(settings.max_words)
+        best = best.where(F.col("all") >= settings.least_documents).orderBy("word")
         counts = pd.DataFrame([(r["word"], b["level"], b["n"]) for r in best.collect() for b in r["by"]], columns=["word", "level", "n"])
     finally:
         rows.unpersist()
