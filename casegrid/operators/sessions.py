@@ -67,39 +67,55 @@ def reduce_chunk(start: np.ndarray, end: np.ndarray, n: np.ndarray, height: np.n
     return np.concatenate([[0], np.flatnonzero(rising | falling[::-1]) + 1])
 
 
+_COLUMNS = ["entity", "start_ms", "end_ms", "n_events", "height_ms", "parent_ms", "kind"]
+
+
+def _entity_nodes(entity: str, t: np.ndarray, n: np.ndarray, is_open: bool) -> list[tuple]:
+    """Nodes of one entity's part of a chunk; kind 0: a finished node, kind 1: a leaf of the reduced chunk of an entity that may go on."""
+    zero = np.zeros(len(t), dtype=np.int64)
+    if not is_open:
+        return [(entity, *x, 0) for x in tree_nodes(t, t, n, zero, OPEN, OPEN)]
+    first = reduce_chunk(t, t, n, zero)
+    ends = np.append(first[1:], len(t))
+    found = []
+    for p, q in zip(first.tolist(), ends.tolist()):
+        h = int((t[p + 1 : q] - t[p : q - 1]).max()) if q - p > 1 else 0
+        if q - p > 1:  # nodes below the segment's own; the segment itself is left to the merge
+            inner = tree_nodes(t[p:q], t[p:q], n[p:q], zero[p:q], OPEN, OPEN)
+            found += [(entity, *x, 0) for x in inner if x[4] < OPEN]
+        found.append((entity, int(t[p]), int(t[q - 1]), int(n[p:q].sum()), h, 0, 1))
+    return found
+
+
 def _chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Trees of one chunk; kind 0: a finished node, kind 1: a leaf of the reduced chunk of an entity that may go on."""
-    whole = [f for f in frames if len(f)]
-    if not whole:
-        return
-    rows = pd.concat(whole, ignore_index=True)
-    codes = pd.factorize(rows["entity"])[0]
-    bounds = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(rows)]])
-    at, count = rows["ms"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
-    out, last, size = [], len(bounds) - 2, 0
-    for i in range(len(bounds) - 1):
-        a, b = bounds[i], bounds[i + 1]
-        t, n, entity = at[a:b], count[a:b], rows["entity"].iat[a]
-        zero = np.zeros(b - a, dtype=np.int64)
-        if 0 < i < last:
-            found = [(entity, *x, 0) for x in tree_nodes(t, t, n, zero, OPEN, OPEN)]
-        else:
-            first = reduce_chunk(t, t, n, zero)
-            ends = np.append(first[1:], b - a)
-            found = []
-            for j, (p, q) in enumerate(zip(first.tolist(), ends.tolist())):
-                h = int((t[p + 1 : q] - t[p : q - 1]).max()) if q - p > 1 else 0
-                if q - p > 1:  # nodes below the segment's own; the segment itself is left to the merge
-                    inner = tree_nodes(t[p:q], t[p:q], n[p:q], zero[p:q], OPEN, OPEN)
-                    found += [(entity, *x, 0) for x in inner if x[4] < OPEN]
-                found.append((entity, int(t[p]), int(t[q - 1]), int(n[p:q].sum()), h, 0, 1))
-        out += found
-        size += len(found)
-        if size > 50_000:
-            yield pd.DataFrame(out, columns=["entity", "start_ms", "end_ms", "n_events", "height_ms", "parent_ms", "kind"])
-            out, size = [], 0
+    """Trees of one chunk, in a running pass that holds one entity at a time; only its first and last entity may go on elsewhere."""
+    held: list = []  # entity, instants, counts
+    began, out = False, []
+
+    def flush(is_open: bool) -> list[tuple]:
+        return _entity_nodes(held[0], np.concatenate(held[1]), np.concatenate(held[2]), is_open)
+
+    for f in frames:
+        if not len(f):
+            continue
+        at, count, who = f["ms"].to_numpy(dtype=np.int64), f["n"].to_numpy(dtype=np.int64), f["entity"].to_numpy()
+        bounds = [0, *(np.flatnonzero(who[1:] != who[:-1]) + 1).tolist(), len(f)]
+        for a, b in zip(bounds, bounds[1:]):
+            if held and held[0] == who[a]:
+                held[1].append(at[a:b])
+                held[2].append(count[a:b])
+                continue
+            if held:
+                out += flush(not began)
+                began = True
+            held = [who[a], [at[a:b]], [count[a:b]]]
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=_COLUMNS)
+                out = []
+    if held:
+        out += flush(True)
     if out:
-        yield pd.DataFrame(out, columns=["entity", "start_ms", "end_ms", "n_events", "height_ms", "parent_ms", "kind"])
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -107,7 +123,7 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     entity = rows["entity"].iat[0]
     cols = (rows[c].to_numpy(dtype=np.int64) for c in ("start_ms", "end_ms", "n_events", "height_ms"))
     found = [(entity, *x, 0) for x in tree_nodes(*cols, OPEN, OPEN)]
-    return pd.DataFrame(found, columns=["entity", "start_ms", "end_ms", "n_events", "height_ms", "parent_ms", "kind"])
+    return pd.DataFrame(found, columns=_COLUMNS)
 
 
 def gap_tree(events: DataFrame) -> DataFrame:
