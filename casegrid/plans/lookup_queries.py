@@ -66,6 +66,12 @@ def _newest(spark, d, rows, limit=100):
     return L.newest(rows, facts, limit).select("msg_id", "utc_ms")
 
 
+def _busiest(rows):
+    """The receiver of the most rows, ties by number, as a scalar."""
+    counts = rows.where("length(receiver_digits) > 0").groupBy("receiver_digits").agg(F.count("*").alias("n"))
+    return counts.agg(F.max_by("receiver_digits", F.struct("n", "receiver_digits")).alias("r")).scalar()
+
+
 def _found(spark, d):
     return L.search_messages(table(spark, d, "messages"), ["CS-00000000", "CS-00000002"], "the", "91")
 
@@ -136,8 +142,8 @@ QUERIES = {
     "v11_named": lambda s, d: table(s, d, "contacts").where(F.contains("name", F.lit("Sharma"))).select("contact_id", "name").distinct().orderBy("contact_id").limit(100),
     "v12_regex": lambda s, d: table(s, d, "messages").where(F.rlike("text", F.lit("(?i).*wallet.*"))).select("msg_id").distinct(),
     "v13_foreign_calls": lambda s, d: table(s, d, "calls").where(~F.startswith("caller_digits", F.lit("91"))).select("call_id").distinct(),
-    "v14_sent_to": lambda s, d: table(s, d, "messages").where((F.col("receiver_digits") == "919151398781") & (F.length("sender_digits") > 0)).select("sender_digits").distinct(),
-    "v16_between_names": lambda s, d: L.between_names(table(s, d, "messages"), table(s, d, "contacts"), "sharma", "a"),
+    "v14_sent_to": lambda s, d: table(s, d, "messages").where((F.col("receiver_digits") == _busiest(table(s, d, "messages"))) & (F.length("sender_digits") > 0)).select("sender_digits").distinct(),
+    "v16_between_names": lambda s, d: L.between_names(table(s, d, "messages"), table(s, d, "contacts"), "i", "a"),
     "v17_last_days": _last_days,
     "v18_frequent_callers": _on("calls", L.frequent_callers),
 }
@@ -225,9 +231,10 @@ select x, 'both' as side from (select x from a intersect select x from b) union
     "v11_named": "select distinct contact_id, name from contacts where contains(name, 'Sharma') order by contact_id limit 100",
     "v12_regex": "select distinct msg_id from messages where contains(lower(text), 'wallet')",
     "v13_foreign_calls": "select distinct call_id from calls where caller_digits not like '91%'",
-    "v14_sent_to": "select distinct sender_digits from messages where receiver_digits = '919151398781' and length(sender_digits) > 0",
+    "v14_sent_to": """select distinct sender_digits from messages where length(sender_digits) > 0 and receiver_digits = (select receiver_digits from messages
+ where length(receiver_digits) > 0 group by 1 order by count(*) desc, receiver_digits desc limit 1)""",
     "v16_between_names": _NAMES + """select distinct m.msg_id, lower(a.name) as s, lower(b.name) as r from messages m join names a on m.case_id = a.case_id and m.sender_digits = a.digits join names b on m.case_id = b.case_id and m.receiver_digits = b.digits
- where (contains(lower(a.name), 'sharma') and contains(lower(b.name), 'a')) or (contains(lower(a.name), 'a') and contains(lower(b.name), 'sharma'))""",
+ where (contains(lower(a.name), 'i') and contains(lower(b.name), 'a')) or (contains(lower(a.name), 'a') and contains(lower(b.name), 'i'))""",
     "v17_last_days": "select event_id from events where event_type = 'view' and ts >= (select max(ts) from events where event_type = 'view') - interval 7 day",
     "v18_frequent_callers": "select caller_digits, count(distinct call_id) as n from calls where length(caller_digits) > 0 group by 1 having count(distinct call_id) > 10",
 }

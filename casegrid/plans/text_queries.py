@@ -244,7 +244,7 @@ QUERIES = {
     "x4_case_links": lambda s, d: K.case_links(_keys(s, d), 0.2),
     "x6_link_statistics": lambda s, d: K.shared_entities(_keys(s, d)).groupBy("match_type").agg(F.count("*").alias("n"), F.max("cases").alias("most_cases")),
     "x8_connections": lambda s, d: K.connections(_keys(s, d)),
-    "p18_cross_case_timeline": _timeline_parts,
+    "p_cross_case_timeline": _timeline_parts,
     "v7_linked_cases": lambda s, d: K.linked_cases(_keys(s, d), "CS-00000000", 0.05),
     "g21_case_network": lambda s, d: K.case_network(from_messages_and_calls(table(s, d, "messages"), table(s, d, "calls")), ["CS-00000000", "CS-00000001"]),
     "x4_case_links_all": lambda s, d: K.case_links(_keys(s, d), 0.0),
