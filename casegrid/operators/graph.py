@@ -2,7 +2,7 @@
 
 Edges are (src, dst, weight), directed, one row per pair; self-loops are allowed. Local measures are joins and aggregates.
 PageRank, eigenvector scores, components and sums over shortest paths iterate joins, cutting lineage at each round, at every size. Cliques are
-looked for at each vertex among its neighbours. Only the greedy communities hold a component in one task, behind a check of its size.
+looked for at each vertex among its neighbours. Only the greedy communities hold a component in one task.
 """
 
 from __future__ import annotations
@@ -11,16 +11,15 @@ import heapq
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegrid.session import cut, with_scalars
 
-#: Edges that greedy communities take; larger graphs are refused, label_propagation has no such bound.
-MAX_GREEDY_EDGES = 2_000_000
-
-
 def edges_of(comms: DataFrame, least: int = 1) -> DataFrame:
     """Directed edges with weight, calls and messages; those below `least` are dropped."""
     rows = comms.where("length(sender) > 0 and length(receiver) > 0").groupBy(F.col("sender").alias("src"), F.col("receiver").alias("dst"))
@@ -370,41 +369,122 @@ def label_propagation(edges: DataFrame) -> DataFrame:
         label = new.select("id", "c", "old")
 
 
-def greedy_modularity(pairs: list[tuple[str, str]]) -> list[set[str]]:
-    """Communities by greedy merging of the pair with the largest gain in modularity; ties by name; largest community first."""
-    m = len(pairs)
-    if not m:
-        return []
-    members: dict[str, set[str]] = {}
-    links: dict[str, dict[str, float]] = {}
-    deg: dict[str, float] = {}
-    for a, b in pairs:
-        for x, y in ((a, b), (b, a)):
-            members.setdefault(x, {x})
-            links.setdefault(x, {})[y] = links.get(x, {}).get(y, 0.0) + 1.0
-            deg[x] = deg.get(x, 0.0) + 1.0
-
-    def gain(x: str, y: str) -> float:
-        return links[x][y] / m - deg[x] * deg[y] / (2.0 * m * m)
-
-    heap = [(-gain(x, y), x, y) for x in links for y in links[x] if x < y]
-    heapq.heapify(heap)
+def greedy_merges(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Community of each of the vertices 0 to n - 1, named by its least vertex, by greedy merging of the pair with the largest gain in
+    modularity, ties by name. (a, b) are distinct unordered pairs of different vertices.
+
+    Gains are compared as whole numbers: 2 m w - d e for a link of weight w between degrees d and e. Each link is in the row of one of its
+    ends, and an end that grows takes all its links, so that in another's row nothing can rise; a row is looked through again only when
+    it is on top and has lost its best link. Within a row and a weight the least degree wins, whatever the row's own degree.
+    """
+    m2 = 2 * len(a)
+    d0 = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    swap = (d0[a] < d0[b]) | ((d0[a] == d0[b]) & (a < b))
+    o, p = np.where(swap, b, a), np.where(swap, a, b)
+    sort = np.lexsort((p, d0[p], o))
+    o, first = o[sort], p[sort]  # links by row, then as they win while their weight is 1
+    at = np.searchsorted(o, np.arange(n + 1)).tolist()
+    ids, deg, same = list(range(n)), d0.tolist(), d0.tolist()
+    own = [dict.fromkeys(map(ids.__getitem__, first[at[v] : at[v + 1]].tolist()), 1) for v in ids]
+    sort = np.argsort(first, kind="stable")
+    back, lent_at = o[sort], np.searchsorted(first[sort], np.arange(n + 1)).tolist()
+    lent = [set(map(ids.__getitem__, back[lent_at[v] : lent_at[v + 1]].tolist())) for v in ids]
+    del o, p, sort, back, swap
+    more: list[dict[int, list[int]]] = [{} for _ in ids]  # by row and weight: degree * n + name
+    label, named, parent = ids[:], ids[:], ids[:]
+    pick, stamp, lost, at_row = [-1] * n, [0] * n, [False] * n, at[:-1]
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def offer(x: int) -> None:
+        """Put the best link of a row on the heap."""
+        row, d, best = own[x], deg[x], None
+        k, end = at_row[x], at[x + 1]
+        while k < end and (row.get(z := int(first[k])) != 1 or deg[z] != same[z]):
+            k += 1
+        at_row[x] = k
+        if k < end:
+            best = (d * deg[z] - m2, label[z], z)
+        for w in list(more[x]):
+            q = more[x][w]
+            while q:
+                e, name = divmod(q[0], n)
+                z = named[name]
+                if z >= 0 and row.get(z) == w and deg[z] == e:
+                    break
+                heapq.heappop(q)
+            if not q:
+                del more[x][w]
+            elif best is None or (d * e - m2 * w, name) < best[:2]:
+                best = (d * e - m2 * w, name, z)
+        stamp[x] += 1
+        lost[x] = False
+        if best is not None and best[0] < 0:
+            pick[x] = best[2]
+            heapq.heappush(heap, (best[0], min(label[x], best[1]), max(label[x], best[1]), x, stamp[x]))
+
+    def take(x: int, z: int, w: int) -> None:
+        """Give row x the link to z with weight w."""
+        own[x][z] = w
+        lent[z].add(x)
+        heapq.heappush(more[x].setdefault(w, []), deg[z] * n + label[z])
+
+    def pull(z: int, x: int) -> int:
+        """Take the link to x out of row z."""
+        if pick[z] == x:
+            lost[z] = True
+        return own[z].pop(x)
+
+    for v in ids:
+        offer(v)
     while heap:
-        g, x, y = heapq.heappop(heap)
-        if x not in links or y not in links[x] or abs(-g - gain(x, y)) > 1e-12:
+        _, _, _, x, s = heapq.heappop(heap)
+        if s != stamp[x]:
             continue
-        if -g <= 0:
-            break
-        for z, w in links.pop(y).items():
-            links[z].pop(y)
-            if z != x:
-                links[x][z] = links[x].get(z, 0.0) + w
-                links[z][x] = links[x][z]
-        deg[x] += deg.pop(y)
-        members[x] |= members.pop(y)
-        for z in links[x]:
-            a, b = min(x, z), max(x, z)
-            heapq.heappush(heap, (-gain(a, b), a, b))
+        if lost[x]:
+            offer(x)
+            continue
+        y = pick[x]
+        if len(own[x]) + len(lent[x]) < len(own[y]) + len(lent[y]):
+            x, y = y, x
+        for z in own[y]:
+            lent[z].discard(y)
+        links = list(own[y].items()) + [(z, pull(z, y)) for z in lent[y]]
+        own[y], lent[y], more[y] = {}, set(), {}
+        stamp[y] += 1
+        for z, w in links:
+            if z == x:
+                continue
+            if z in own[x]:
+                w += own[x][z]
+            elif z in lent[x]:
+                w += pull(z, x)
+                lent[x].discard(z)
+            take(x, z, w)
+        for z in lent[x]:
+            take(x, z, pull(z, x))
+        lent[x] = set()
+        deg[x] += deg[y]
+        named[label[x]] = named[label[y]] = -1
+        label[x] = min(label[x], label[y])
+        named[label[x]], parent[y] = x, x
+        offer(x)
+    for v in ids:
+        x = v
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        parent[v] = x
+    return [label[x] for x in parent]
+
+
+def greedy_modularity(pairs: list[tuple[str, str]]) -> list[set[str]]:
+    """Communities by greedy merging of the pair with the largest gain in modularity; ties by name; largest community first."""
+    names = sorted({x for p in pairs for x in p})
+    index = {x: i for i, x in enumerate(names)}
+    members: dict[int, set[str]] = {}
+    ends = np.array([[index[x] for x in p] for p in pairs], dtype=np.int64).reshape(-1, 2)
+    for x, c in zip(names, greedy_merges(len(names), ends[:, 0], ends[:, 1])):
+        members.setdefault(c, set()).add(x)
     return sorted(members.values(), key=lambda s: (-len(s), min(s)))
 
 
@@ -465,17 +545,23 @@ def clique_sizes(edges: DataFrame, least: int = 3) -> DataFrame:
 
 
 def communities(edges: DataFrame) -> DataFrame:
-    """(component, number, id, size): communities by greedy modularity. Every merge depends on all before it, so a component is one task."""
-    if (n := edges.count()) > MAX_GREEDY_EDGES:
-        raise ValueError(f"{n} edges are too many for greedy communities; use label_propagation")
-    pairs = undirected(edges).join(components(edges).withColumnRenamed("id", "a"), "a")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [sorted(s) for s in greedy_modularity(list(zip(rows["a"], rows["b"])))]
-        c = rows["component"].iat[0]
-        return pd.DataFrame([(c, i, v, len(g)) for i, g in enumerate(found) for v in g], columns=["component", "number", "id", "size"])
-
-    return pairs.groupBy("component").applyInPandas(run, "component string, number int, id string, size int")
+    """(component, number, id, size): communities by greedy modularity. Every merge depends on all before it, so a component is one task,
+    which holds its pairs as numbers (about 150 bytes a pair)."""
+    pairs = cut(undirected(edges))
+    rows = pairs.join(components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "a"), "a")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        names = pa.array(sorted(pc.unique(pa.chunked_array(rows["a"].chunks + rows["b"].chunks)).to_pylist()), pa.string())
+        a, b = (pc.index_in(rows[c].cast(pa.string()), value_set=names).to_numpy().astype(np.int64) for c in ("a", "b"))
+        found = np.array(greedy_merges(len(names), a, b))
+        size = np.bincount(found, minlength=len(names))
+        heads = np.unique(found)
+        number = np.zeros(len(names), dtype=np.int32)
+        number[heads[np.lexsort((heads, -size[heads]))]] = np.arange(len(heads))
+        component = pa.array([key[0].as_py()] * len(names), pa.string())
+        return pa.table({"component": component, "number": pa.array(number[found]), "id": names, "size": pa.array(size[found].astype(np.int32))})
+
+    return rows.select("component", "a", "b").groupBy("component").applyInArrow(run, "component string, number int, id string, size int")
 
 
 def community_subgraphs(edges: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:

@@ -55,6 +55,42 @@ def test_communities_and_cliques():
     assert G.greedy_modularity(two) == [{"a", "b", "c"}, {"x", "y", "z"}]
 
 
+def greedy_by_hand(pairs):
+    m, member, w, d = len(pairs), {}, {}, {}
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            member.setdefault(x, {x})
+            w.setdefault(x, {})[y] = 1
+            d[x] = d.get(x, 0) + 1
+    while pairs:
+        loss, x, y = min(((d[x] * d[y] - 2 * m * w[x][y], x, y) for x in w for y in w[x] if x < y), default=(0, "", ""))
+        if loss >= 0:
+            break
+        for z, v in w.pop(y).items():
+            w[z].pop(y)
+            if z != x:
+                w[x][z] = w[z][x] = w[x].get(z, 0) + v
+        d[x] += d.pop(y)
+        member[x] |= member.pop(y)
+    return sorted(member.values(), key=lambda s: (-len(s), min(s)))
+
+
+def test_greedy_merges_have_exact_ties():
+    r = random.Random(1)
+    for t in range(300):
+        names = [str(i) for i in range(r.randint(2, 30))]
+        hubs = names[:5] if t % 2 else names
+        pairs = sorted({tuple(sorted((x, y))) for x in names for y in hubs if x != y and r.random() < 0.3})
+        assert G.greedy_modularity(pairs) == greedy_by_hand(pairs)
+
+
+def test_communities_of_more_than_two_million_rows(spark):
+    """A table of so many edges was refused."""
+    many = spark.range(2_000_001).selectExpr("cast(id % 6 div 3 * 3 + id % 3 as string) as src", "cast(id % 6 div 3 * 3 + (id + 1) % 3 as string) as dst", "1L as weight")
+    got = sorted((x.component, x.number, x.id, x.size) for x in G.communities(many).collect())
+    assert got == [("0", 0, "0", 3), ("0", 0, "1", 3), ("0", 0, "2", 3), ("3", 0, "3", 3), ("3", 0, "4", 3), ("3", 0, "5", 3)]
+
+
 def all_cliques(pairs, least=3):
     near = {}
     for a, b in pairs:
