@@ -6,8 +6,9 @@ values link nothing.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegrid.functions import text as T
@@ -15,6 +16,8 @@ from casegrid.session import cut
 
 # Weight of each kind of shared entity in the strength of a link.
 WEIGHTS = {"phone": 0.4, "email": 0.3, "device": 0.5, "location": 0.2, "name": 0.1}
+#: Places of a case without a gap in latitude that one task sweeps; metres in a degree of latitude, rounded down.
+MAX_SWEPT_PLACES, PER_DEGREE = 2_000_000, 111_000.0
 CONFIDENCE = {"phone": 1.0, "email": 1.0, "device": 1.0, "location": 0.95, "name": 0.75}
 
 
@@ -174,40 +177,62 @@ def visits(places: DataFrame) -> DataFrame:
     return rows.select(T.short_id(F.col("key")).alias("location_id"), "case_id", "visits", "first_seen", "last_seen", kind.alias("kind"))
 
 
-def clusters(places: DataFrame, metres: float) -> DataFrame:
+def latitude_runs(points: DataFrame, chunk: int = 50_000) -> DataFrame:
+    """(case_id, band, run, places, part): bands of latitude at least as high as the distance that hold places, the run of bands without a gap in which
+    they lie, its places, and the part of about `chunk` places into which short runs are put together. Places of different runs are farther apart
+    than the distance."""
+    w = Window.partitionBy("case_id").orderBy("band")
+    bands = points.groupBy("case_id", "band").agg(F.count("*").alias("n"))
+    bands = bands.withColumn("start", F.coalesce(F.col("band") - F.lag("band").over(w) > 1, F.lit(True)).cast("long")).withColumn("run", F.sum("start").over(w))
+    runs = bands.groupBy("case_id", "run").agg(F.sum("n").alias("places"))
+    before = F.sum("places").over(Window.partitionBy("case_id").orderBy("run")) - F.col("places")
+    return bands.select("case_id", "band", "run").join(runs.withColumn("part", F.floor(before / chunk)), ["case_id", "run"])
+
+
+def swept(rows: pd.DataFrame, metres: float) -> pd.DataFrame:
+    """Greedy clusters of places of one case. What lies before a seed is taken, so only what lies up to the distance behind it is looked at."""
+    rows = rows.sort_values(["latitude", "longitude"]).reset_index(drop=True)
+    latitude, longitude, visits = (rows[c].to_numpy() for c in ("latitude", "longitude", "visits"))
+    la, lo = np.radians(latitude), np.radians(longitude)
+    cos, ends = np.cos(la), np.searchsorted(la, la + metres / 6371000.0 * (1 + 1e-9) + 1e-12, side="right")
+    free = np.ones(len(rows), dtype=bool)
+    out = []
+    for i in range(len(rows)):
+        if not free[i]:
+            continue
+        near = i + np.flatnonzero(free[i : ends[i]])
+        h = np.sin((la[near] - la[i]) / 2) ** 2 + cos[near] * cos[i] * np.sin((lo[near] - lo[i]) / 2) ** 2
+        own = near[2 * 6371000.0 * np.arcsin(np.sqrt(np.minimum(h, 1))) <= metres]
+        free[own] = False
+        out.append((rows["case_id"].iat[0], rows["id"].iat[i], round(float(latitude[own].mean()), 5), round(float(longitude[own].mean()), 5), len(own), int(visits[own].sum())))
+    return pd.DataFrame(out, columns=["case_id", "seed", "latitude", "longitude", "places", "visits"])
+
+
+def clusters(places: DataFrame, metres: float, most: int = MAX_SWEPT_PLACES) -> DataFrame:
     """Greedy clusters of a case's distinct places (to five decimals): the first place by coordinates not yet taken seeds a cluster and
-    takes all free ones within a distance.
+    takes all free ones within a distance. Clusters are named by their seed.
 
-    The order decides the result, but only among places that hang together by pairs within the distance: each connected component of them
-    is a pass of its own, and single places are clusters without one. Clusters are named by their seed.
+    The order decides the result, but only among places that hang together by pairs within the distance: each run of latitudes without a gap
+    is swept in one task. A run of more than `most` places is split into connected components of its pairs, with the same result.
     """
     from casegrid.operators.graph import components
 
     points = places.where("latitude is not null and longitude is not null").groupBy("case_id", F.round("latitude", 5).alias("latitude"), F.round("longitude", 5).alias("longitude")).agg(F.count("*").alias("visits"))
-    points = cut(points.withColumn("id", F.concat_ws("|", "case_id", F.format_string("%.5f", F.col("latitude")), F.format_string("%.5f", F.col("longitude")))))
-    groups = components(near_pairs(points, metres).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = rows.sort_values(["latitude", "longitude"]).reset_index(drop=True)
-        la, lo = np.radians(rows["latitude"].to_numpy()), np.radians(rows["longitude"].to_numpy())
-        free = np.ones(len(rows), dtype=bool)
-        out = []
-        for i in range(len(rows)):
-            if not free[i]:
-                continue
-            h = np.sin((la - la[i]) / 2) ** 2 + np.cos(la) * np.cos(la[i]) * np.sin((lo - lo[i]) / 2) ** 2
-            take = free & (2 * 6371000.0 * np.arcsin(np.sqrt(np.minimum(h, 1))) <= metres)
-            free &= ~take
-            own = rows[take]
-            out.append((rows["case_id"].iat[0], rows["id"].iat[i], round(float(own["latitude"].mean()), 5), round(float(own["longitude"].mean()), 5), int(take.sum()), int(own["visits"].sum())))
-        return pd.DataFrame(out, columns=["case_id", "seed", "latitude", "longitude", "places", "visits"])
-
-    grouped = points.join(groups, "id", "left")
-    single = grouped.where("component is null").select("case_id", F.col("id").alias("seed"), F.round("latitude", 5).alias("latitude"), F.round("longitude", 5).alias("longitude"), F.lit(1).alias("places"), F.col("visits").cast("int").alias("visits"))
-    rest = grouped.where("component is not null").groupBy("component").applyInPandas(run, "case_id string, seed string, latitude double, longitude double, places int, visits int")
-    return single.unionByName(rest)
+    points = points.withColumn("id", F.concat_ws("|", "case_id", F.format_string("%.5f", F.col("latitude")), F.format_string("%.5f", F.col("longitude"))))
+    alone = F.col("case_id").isNull() | F.isnan("latitude") | F.isnan("longitude")
+    points = cut(points.withColumn("band", F.when(~alone, F.floor(F.col("latitude") * PER_DEGREE / metres))))
+    runs = cut(latitude_runs(points.where("band is not null")))
+    points = points.join(runs, ["case_id", "band"], "left")
+    kind = "case_id string, seed string, latitude double, longitude double, places int, visits int"
+    run = lambda rows: swept(rows, metres)
+    single = lambda rows: rows.select("case_id", F.col("id").alias("seed"), F.round("latitude", 5).alias("latitude"), F.round("longitude", 5).alias("longitude"), F.lit(1).alias("places"), F.col("visits").cast("int").alias("visits"))
+    out = single(points.where("places is null")).unionByName(points.where(F.col("places") <= most).groupBy("case_id", "part").applyInPandas(run, kind))
+    if runs.where(F.col("places") > most).limit(1).count():
+        large = cut(points.where(F.col("places") > most))
+        groups = components(near_pairs(large, metres, PER_DEGREE).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
+        grouped = large.join(groups, "id", "left")
+        out = out.unionByName(single(grouped.where("component is null"))).unionByName(grouped.where("component is not null").groupBy("component").applyInPandas(run, kind))
+    return out
 
 
 def cross_case_timeline(messages: DataFrame, calls: DataFrame, places: DataFrame, limit: int | None = None) -> DataFrame:

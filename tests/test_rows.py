@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -69,6 +70,31 @@ def test_clusters_by_seed_and_single_places(spark):
     assert sorted((r.seed, r.places) for r in K.clusters(df, 50.0).collect()) == [("c|10.00000|20.00000", 2), ("c|10.00080|20.00000", 1), ("c|11.00000|20.00000", 1)]
 
 
+def test_clusters_need_no_pairs_and_split_alike(spark, monkeypatch):
+    """Pairs and their components were made of all places, however dense; now only of runs too large for a task."""
+    r = random.Random(4)
+    spots = [(i, r.choice("cd"), round(r.choice((0, 1, 60, 89.9)) + r.uniform(0, 0.01), 4), r.choice((179.999, -179.999, 5.0)) + r.uniform(0, 9e-4)) for i in range(400)]
+    spots += [(400, None, 1.0, 5.0), (401, None, 1.0, 5.00001), (402, "c", float("nan"), 5.0)]
+    df = spark.createDataFrame(spots, "id long, case_id string, latitude double, longitude double")
+    want = []
+    for case in "cd":
+        free = sorted({(round(la, 5), round(lo, 5)) for _, c, la, lo in spots if c == case and la == la})
+        visits = lambda la, lo: sum(c == case and (round(a, 5), round(b, 5)) == (la, lo) for _, c, a, b in spots if a == a)
+        while free:
+            (la, lo), own = free[0], []
+            for a, b in free:
+                h = math.sin(math.radians(a - la) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(la)) * math.sin(math.radians(b - lo) / 2) ** 2
+                if 2 * 6371000 * math.asin(math.sqrt(h)) <= 120:
+                    own.append((a, b))
+            free = [x for x in free if x not in own]
+            want.append((f"{case}|{la:.5f}|{lo:.5f}", len(own), sum(visits(*x) for x in own)))
+    want = sorted([*want, ("1.00000|5.00000", 1, 1), ("1.00000|5.00001", 1, 1), ("c|NaN|5.00000", 1, 1)])
+    got = lambda **kw: sorted((x.seed, x.places, x.visits) for x in K.clusters(df, 120.0, **kw).collect())
+    assert got(most=0) == want
+    monkeypatch.setattr(K, "near_pairs", None)
+    assert got() == want and max(x[1] for x in want) > 3
+
+
 def test_distance_and_near_pairs(spark):
     d = spark.sql("select 1").select(K.haversine(F.lit(40.7128), F.lit(-74.0060), F.lit(34.0522), F.lit(-118.2437)).alias("d")).first().d
     assert 3_900_000 < d < 4_000_000
