@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 
 from casegrid.session import cut, with_scalars
 
+#: Edges that every task may hold, and edges that a task looks at in all.
+MAX_CORE_EDGES, TASK_EDGES = 4_000_000, 200_000_000
+
+
 def edges_of(comms: DataFrame, least: int = 1) -> DataFrame:
     """Directed edges with weight, calls and messages; those below `least` are dropped."""
     rows = comms.where("length(sender) > 0 and length(receiver) > 0").groupBy(F.col("sender").alias("src"), F.col("receiver").alias("dst"))
@@ -216,24 +220,111 @@ def path_sums(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return out.groupBy("id").agg(F.sum("b").alias("b"), F.count("*").alias("reach"), F.sum("hop").alias("total"))
 
 
-def path_measures(edges: DataFrame, block: int = 512) -> DataFrame:
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges (start, size) one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def path_sums_of(heads: np.ndarray, tails: np.ndarray, own: np.ndarray, sizes: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """path_sums (b, reach, total) of the vertices of a graph held as arrays: the edges of v go to tails[heads[v] : heads[v + 1]]. A source is the
+    vertex `own`, or -1 if no edge leads to it; its edges go to the next `sizes` of `near`. A cell is a vertex as seen from a source."""
+    n, m = len(heads) - 1, len(own)
+    hop, paths, share = np.full(m * n, -1, dtype=np.int32), np.zeros(m * n), np.zeros(m * n)
+    hop[np.flatnonzero(own >= 0) * n + own[own >= 0]] = 0
+    front = np.repeat(np.arange(m) * n, sizes) + near
+    levels: list[np.ndarray] = []
+    paths[front] = 1.0
+
+    def ahead(front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = front % n
+        k = heads[v + 1] - heads[v]
+        return np.repeat(np.arange(len(front)), k), np.repeat(front - v, k) + tails[ranges(heads[v], k)]
+
+    while len(front):
+        levels.append(front)
+        hop[front] = len(levels)
+        at, cell = ahead(front)
+        new = hop[cell] < 0
+        at, cell = at[new], cell[new]
+        if len(cell) > m * n // 8:
+            sums = np.bincount(cell, weights=paths[front[at]], minlength=m * n)
+            front = np.flatnonzero(sums)
+            paths[front] = sums[front]
+        else:
+            cells, where = np.unique(cell, return_inverse=True)
+            paths[cells] = np.bincount(where, weights=paths[front[at]], minlength=len(cells))
+            front = cells
+    for k in range(len(levels) - 1, 0, -1):
+        front = levels[k - 1]
+        at, cell = ahead(front)
+        on = hop[cell] == k + 1
+        at, cell = at[on], cell[on]
+        share[front] = paths[front] * np.bincount(at, weights=(1 + share[cell]) / paths[cell], minlength=len(front))
+    seen = np.concatenate(levels) if levels else front
+    v = seen % n
+    return np.bincount(v, weights=share[seen], minlength=n), np.bincount(v, minlength=n), np.bincount(v, weights=hop[seen], minlength=n)
+
+
+def indexed(pairs: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Names of the vertices in order, and (heads, tails) of distinct edges (src, dst), which are collected."""
+    rows = pairs.select("src", "dst").toArrow()
+    names = pc.unique(pa.chunked_array(rows["src"].chunks + rows["dst"].chunks, pa.string()))
+    names = names.take(pc.sort_indices(names))
+    src, dst = (pc.index_in(rows[c], value_set=names).to_numpy().astype(np.int32) for c in ("src", "dst"))
+    return names, np.searchsorted(np.sort(src), np.arange(len(names) + 1)), dst[np.argsort(src, kind="stable")]
+
+
+def path_sums_by_core(links: DataFrame, core: DataFrame, sources: int, size: int) -> DataFrame:
+    """path_sums from all vertices where the core, the edges (`size` of them) from vertices that have incoming ones, fits into a task. All paths run
+    in the core but for their first edge, which comes with the source."""
+    names, heads, tails = indexed(core)
+    shared = links.sparkSession.sparkContext.broadcast((names, heads, tails))
+    parts = int(min(10_000, max(1, sources * (size + len(names)) // TASK_EDGES)))
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, heads, tails = shared.value
+        sums = [np.zeros(len(names)) for _ in range(3)]
+        step = max(1, min(2_000_000 // max(1, len(tails)), 1_000_000 // max(1, len(names))))
+        for rows in tables:
+            for k in range(0, rows.num_rows, step):
+                part = rows.slice(k, step)
+                near = pc.index_in(part["near"].flatten(), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+                own = pc.fill_null(pc.index_in(part["src"], value_set=names), -1).to_numpy().astype(np.int64)
+                sizes = pc.list_value_length(part["near"]).to_numpy().astype(np.int64)
+                sums = [a + b for a, b in zip(sums, path_sums_of(heads, tails, own, sizes, near))]
+        some = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(sums[0][some]), *(pa.array(x[some].astype(np.int64)) for x in sums[1:])], ["id", "b", "reach", "total"])
+
+    return links.repartition(parts, "src").groupBy("src").agg(F.collect_list("dst").alias("near")).mapInArrow(run, "id string, b double, reach long, total long")
+
+
+def path_measures(edges: DataFrame, block: int = 512, most: int = MAX_CORE_EDGES) -> DataFrame:
     """Betweenness (directed, unweighted, / ((n-1)(n-2))) and closeness (incoming distances, scaled by reach) of each vertex.
 
-    Sources go in blocks of about `block`, by a hash, so that what is written per block stays bounded by block x vertices.
+    Vertices without incoming edges are on no path but their own: if the edges from all others are at most `most`, each task gets them, and
+    sources with their own edges. Beyond that sources go by joins in blocks of about `block`, by a hash, so that what is written per
+    block stays bounded by block x vertices.
     """
     edges = cut(edges.select("src", "dst"))
     ids = cut(vertices(edges))
     n = ids.count()
-    parts = max(1, -(-n // block))
-    sums = None
-    for k in range(parts):
-        own = cut(path_sums(edges, ids.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)))
-        sums = own if sums is None else sums.unionByName(own)
+    links = cut(edges.where("src <> dst").distinct())
+    core = cut(links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+    if (size := core.count()) <= most:
+        # without core edges the vertices that edges lead to still need names: a loop, which no path takes
+        loops = links.select("dst").distinct().select(F.col("dst").alias("src"), "dst")
+        sums = path_sums_by_core(links, core.unionByName(loops), n, size)
+    else:
+        parts = max(1, -(-n // block))
+        sums = None
+        for k in range(parts):
+            own = cut(path_sums(edges, ids.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)))
+            sums = own if sums is None else sums.unionByName(own)
     sums = sums.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("b", "reach", "total")])
     rows = ids.join(sums, "id", "left").fillna(0, ["b", "reach", "total"])
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     close = F.when(F.col("total") > 0, F.col("reach") / F.col("total") * F.col("reach") / F.lit(max(n - 1, 1))).otherwise(0.0)
-    return rows.select("id", F.round(F.col("b") * scale, 6).alias("betweenness"), F.round(close, 6).alias("closeness"))
+    return cut(rows.select("id", F.round(F.col("b") * scale, 6).alias("betweenness"), F.round(close, 6).alias("closeness")))
 
 
 def distances_by_join(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:

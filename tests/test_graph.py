@@ -156,6 +156,18 @@ def test_path_measures_against_brute_force(spark):
         assert abs(got[v].closeness - (reach / sum(far[v]) * reach / (n - 1) if reach else 0)) < 1e-5
 
 
+def test_path_measures_by_core_and_by_joins_are_equal(spark, monkeypatch):
+    """Every level of every block of sources was a join, whatever the graph."""
+    r = random.Random(9)
+    pairs = sorted({(str(r.randrange(60)), str(r.randrange(14))) for _ in range(200)} | {("0", "x"), ("x", "y"), ("y", "z"), ("z", "y"), ("p", "q"), ("w", "w")})
+    rows = lambda **kw: sorted(map(tuple, G.path_measures(frame(spark, pairs), **kw).collect()))
+    want = rows(most=0)
+    monkeypatch.setattr(G, "path_sums", None)
+    assert rows() == want and rows(block=3) == want and sum(x[1] > 0 for x in want) > 8
+    assert sorted(map(tuple, G.path_measures(frame(spark, [("a", "b"), ("c", "b")])).collect())) == [("a", 0.0, 0.0), ("b", 0.0, 1.0), ("c", 0.0, 0.0)]
+    assert G.path_measures(frame(spark, pairs).where("false")).count() == 0
+
+
 def test_components_of_a_long_line_and_label_propagation(spark):
     line = frame(spark, [(f"{i:04d}", f"{i + 1:04d}") for i in range(300)])
     assert {x.component for x in G.components(line).collect()} == {"0000"}
