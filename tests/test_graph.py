@@ -168,6 +168,12 @@ def test_path_measures_by_core_and_by_joins_are_equal(spark, monkeypatch):
     assert G.path_measures(frame(spark, pairs).where("false")).count() == 0
 
 
+def test_top_centralities_need_no_joins_over_paths(spark, monkeypatch):
+    monkeypatch.setattr(G, "path_sums", None)
+    rows = G.top_centralities(frame(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("d", "b"), ("b", "e")]), 1).collect()
+    assert [(x.id, x["rank"], x.betweenness, x.closeness) for x in rows] == [("b", 1, round(6 / 12, 6), round(3 / 4 * 3 / 4, 6))]
+
+
 def test_components_of_a_long_line_and_label_propagation(spark):
     line = frame(spark, [(f"{i:04d}", f"{i + 1:04d}") for i in range(300)])
     assert {x.component for x in G.components(line).collect()} == {"0000"}
