@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from casegrid.session import cut, with_scalars
 
-#: Edges that every task may hold, and edges that a task looks at in all.
-MAX_CORE_EDGES, TASK_EDGES = 4_000_000, 200_000_000
+#: Edges and unordered pairs that every task may hold, and edges that a task looks at in all.
+MAX_CORE_EDGES, MAX_PAIRS, TASK_EDGES = 4_000_000, 6_000_000, 200_000_000
 
 
 def edges_of(comms: DataFrame, least: int = 1) -> DataFrame:
@@ -265,19 +265,25 @@ def path_sums_of(heads: np.ndarray, tails: np.ndarray, own: np.ndarray, sizes: n
     return np.bincount(v, weights=share[seen], minlength=n), np.bincount(v, minlength=n), np.bincount(v, weights=hop[seen], minlength=n)
 
 
+def by_head(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(heads, tails): the edges of v go to tails[heads[v] : heads[v + 1]]."""
+    return np.searchsorted(np.sort(src), np.arange(n + 1)), dst[np.argsort(src, kind="stable")]
+
+
 def indexed(pairs: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Names of the vertices in order, and (heads, tails) of distinct edges (src, dst), which are collected."""
+    """Names of the vertices in order, and the ends of the edges (src, dst) as their numbers. All are collected."""
     rows = pairs.select("src", "dst").toArrow()
     names = pc.unique(pa.chunked_array(rows["src"].chunks + rows["dst"].chunks, pa.string()))
     names = names.take(pc.sort_indices(names))
     src, dst = (pc.index_in(rows[c], value_set=names).to_numpy().astype(np.int32) for c in ("src", "dst"))
-    return names, np.searchsorted(np.sort(src), np.arange(len(names) + 1)), dst[np.argsort(src, kind="stable")]
+    return names, src, dst
 
 
 def path_sums_by_core(links: DataFrame, core: DataFrame, sources: int, size: int) -> DataFrame:
     """path_sums from all vertices where the core, the edges (`size` of them) from vertices that have incoming ones, fits into a task. All paths run
     in the core but for their first edge, which comes with the source."""
-    names, heads, tails = indexed(core)
+    names, src, dst = indexed(core)
+    heads, tails = by_head(len(names), src, dst)
     shared = links.sparkSession.sparkContext.broadcast((names, heads, tails))
     parts = int(min(10_000, max(1, sources * (size + len(names)) // TASK_EDGES)))
 
@@ -411,18 +417,103 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out if out is not None else left.select("id", F.col("id").alias("component"))
 
 
-def diameter(edges: DataFrame, block: int = 512) -> DataFrame:
-    """One row: the longest of all shortest paths of the undirected graph, null unless it hangs together; sources go in blocks."""
-    pairs = undirected(edges)
-    both = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a")))
+def hops_from(heads: np.ndarray, tails: np.ndarray, source: int) -> np.ndarray:
+    """Hops from a source to each vertex of a graph held as arrays, -1 where none leads."""
+    hop = np.full(len(heads) - 1, -1, dtype=np.int32)
+    hop[source], front, k = 0, np.array([source]), 0
+    while len(front):
+        k += 1
+        to = tails[ranges(heads[front], heads[front + 1] - heads[front])]
+        to = to[hop[to] < 0]
+        hop[to] = k
+        front = np.flatnonzero(hop == k) if len(to) > len(hop) // 8 else np.unique(to)
+    return hop
+
+
+def farthest(heads: np.ndarray, tails: np.ndarray, sources: np.ndarray, words: int) -> int:
+    """The longest of all shortest paths from the given sources (at most 64 x words) of a connected graph of two or more vertices. Each vertex
+    has a bit for each source that reaches it, and takes those of its neighbours at each hop."""
+    n, m = len(heads) - 1, len(sources)
+    bit = np.uint64(1) << (np.arange(m) % 64).astype(np.uint64)
+    full = np.bitwise_or.reduceat(bit, np.arange(0, m, 64))
+    seen = np.zeros((n, len(full)), dtype=np.uint64)
+    sizes = heads[sources + 1] - heads[sources]
+    j = np.concatenate([np.arange(m), np.repeat(np.arange(m), sizes)])
+    np.bitwise_or.at(seen, (np.concatenate([sources, tails[ranges(heads[sources], sizes)]]), j // 64), bit[j])
+    k, cuts = 1, [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(heads, heads[cuts[-1]] + (1 << 20) // len(full), side="right")) - 1))
+    while not (seen == full).all():
+        new = seen.copy()
+        for a, b in zip(cuts, cuts[1:]):
+            new[a:b] |= np.bitwise_or.reduceat(seen[tails[heads[a] : heads[b]]], heads[a:b] - heads[a], axis=0)
+        seen, k = new, k + 1
+    return k
+
+
+def bounded_diameter(pairs: DataFrame, n: int, rounds: int = 3, words: int = 32) -> int | None:
+    """The diameter of the undirected graph of (a, b), None unless it hangs together and has n vertices; every task gets the graph.
+
+    The hops from a few vertices bound the greatest distance of all others (from e hops at most, d away: between max(d, e - d) and e + d).
+    Only vertices that may have a longer path than the longest found go on.
+    """
+    spark = pairs.sparkSession
+    names, a, b = indexed(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    if n < 2 or len(names) < n:
+        return 0 if n == 1 else None
+    heads, tails = by_head(n, np.concatenate([a, b]), np.concatenate([b, a]))
+    low, high, degree = np.zeros(n, dtype=np.int64), np.full(n, 2 * n, dtype=np.int64), np.diff(heads)
+    shared = spark.sparkContext.broadcast((heads, tails))
+    del a, b, names
+
+    def apart(picks: list[int]) -> list:
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in rows:
+                for k in r["id"].to_pylist():
+                    yield pa.RecordBatch.from_pydict({"hops": [hops_from(*shared.value, picks[k]).tobytes()]})
+
+        return [np.frombuffer(r.hops, dtype=np.int32) for r in spark.range(0, len(picks), 1, len(picks)).mapInArrow(run, "hops binary").collect()]
+
+    for _ in range(rounds):
+        left = np.flatnonzero(high > low.max())
+        if not len(left):
+            return int(low.max())
+        ends = np.lexsort((-degree[left], -high[left]))[:3], np.lexsort((-degree[left], low[left]))[:3]
+        for d in apart([int(v) for v in np.unique(left[np.concatenate(ends)])]):
+            if (d < 0).any():
+                return None
+            low, high = np.maximum(low, np.maximum(d, d.max() - d)), np.minimum(high, d.max() + d)
+    left, most = np.flatnonzero(high > low.max()), int(low.max())
+    if not len(left):
+        return most
+    flat = most <= 2 * words
+    step = 64 * max(1, min(words, 4_000_000 // n, -(-len(left) // (64 * 24)))) if flat else max(1, len(left) // 1000)
+    parts = -(-len(left) // step)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, tails = shared.value
+        for r in rows:
+            for k in r["id"].to_pylist():
+                own = left[k * step : (k + 1) * step]
+                yield pa.RecordBatch.from_pydict({"hop": [farthest(heads, tails, own, words) if flat else max(int(hops_from(heads, tails, v).max()) for v in own)]})
+
+    return max(most, spark.range(0, parts, 1, parts).mapInArrow(run, "hop long").agg(F.max("hop")).first()[0])
+
+
+def diameter(edges: DataFrame, block: int = 512, most: int = MAX_PAIRS) -> DataFrame:
+    """One row: the longest of all shortest paths of the undirected graph, null unless it hangs together. Beyond `most` pairs, which
+    every task may hold, sources go by joins in blocks."""
+    pairs = cut(undirected(edges))
     ids, one = cut(vertices(edges)), edges.sparkSession.range(1)
     n = ids.count()
+    if pairs.count() <= most:
+        return one.select(F.lit(bounded_diameter(pairs, n)).cast("int").alias("diameter"))
+    both = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a")))
     whole = n > 0 and components(edges).select("component").distinct().limit(2).count() == 1
-    most, parts = 0, max(1, -(-n // block))
+    far, parts = 0, max(1, -(-n // block))
     for k in range(parts if whole else 0):
-        far = distances_by_join(both, ids.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)).agg(F.max("hop")).first()[0]
-        most = max(most, far or 0)
-    return one.select((F.lit(most) if whole else F.lit(None)).cast("int").alias("diameter"))
+        far = max(far, distances_by_join(both, ids.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)).agg(F.max("hop")).first()[0] or 0)
+    return one.select((F.lit(far) if whole else F.lit(None)).cast("int").alias("diameter"))
 
 
 def paths_from(edges: DataFrame, source: str | None = None, n: int | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from casegrid.operators import graph as G
@@ -174,6 +175,32 @@ def test_top_centralities_need_no_joins_over_paths(spark, monkeypatch):
     assert [(x.id, x["rank"], x.betweenness, x.closeness) for x in rows] == [("b", 1, round(6 / 12, 6), round(3 / 4 * 3 / 4, 6))]
 
 
+def test_diameter_without_joins(spark, monkeypatch):
+    """Every hop of every block of sources was a join, whatever the graph."""
+    r = random.Random(5)
+    far = lambda pairs: G.diameter(frame(spark, pairs)).first().diameter
+    many = sorted({(str(r.randrange(3, 180)), str(r.randrange(3))) for _ in range(300)})
+    want = G.diameter(frame(spark, many), most=0).first().diameter
+    monkeypatch.setattr(G, "distances_by_join", None)
+    assert far(many) == want and far([(f"{i:02d}", f"{i + 1:02d}") for i in range(40)]) == 40
+    assert far([("a", "a")]) == 0 and far([("a", "b"), ("c", "c")]) is None and far([("a", "b"), ("c", "d")]) is None
+    assert G.diameter(frame(spark, many).where("false")).first().diameter is None
+
+
+def test_farthest_of_all_vertices():
+    r = random.Random(7)
+    for n, m in ((2, 1), (70, 69), (150, 400), (300, 310)):
+        pairs = {(i, r.randrange(i)) for i in range(1, n)} | {tuple(sorted(r.sample(range(n), 2), reverse=True)) for _ in range(m - n)}
+        a, b = (np.array(x) for x in zip(*pairs))
+        heads, tails = G.by_head(n, np.concatenate([a, b]), np.concatenate([b, a]))
+        hops = [int(G.hops_from(heads, tails, v).max()) for v in range(n)]
+        near = {v: set(tails[heads[v] : heads[v + 1]].tolist()) for v in range(n)}
+        seen, k = {0}, 0
+        while len(seen) < n:
+            seen, k = seen | {w for v in seen for w in near[v]}, k + 1
+        assert k == hops[0] and G.farthest(heads, tails, np.arange(n), 8) == max(hops) and G.farthest(heads, tails, np.array([1]), 8) == hops[1]
+
+
 def test_components_of_a_long_line_and_label_propagation(spark):
     line = frame(spark, [(f"{i:04d}", f"{i + 1:04d}") for i in range(300)])
     assert {x.component for x in G.components(line).collect()} == {"0000"}
