@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -175,6 +176,12 @@ def test_top_centralities_need_no_joins_over_paths(spark, monkeypatch):
     assert [(x.id, x["rank"], x.betweenness, x.closeness) for x in rows] == [("b", 1, round(6 / 12, 6), round(3 / 4 * 3 / 4, 6))]
 
 
+def test_bridges_need_no_joins_over_paths(spark, monkeypatch):
+    monkeypatch.setattr(G, "path_sums", None)
+    rows = G.bridges(frame(spark, [("a", "b"), ("b", "c"), ("d", "b"), ("b", "e")]), 2).collect()
+    assert [(x.id, x.betweenness, x.degree, x.score) for x in rows] == [("b", round(4 / 12, 6), 4, round(4 / 12 / math.log(6), 6)), ("a", 0.0, 1, 0.0)]
+
+
 def test_diameter_without_joins(spark, monkeypatch):
     """Every hop of every block of sources was a join, whatever the graph."""
     r = random.Random(5)
