@@ -721,9 +721,88 @@ def cliques(edges: DataFrame, least: int = 3) -> DataFrame:
     return rows.groupBy("v").applyInPandas(run, "clique string, members array<string>, size int")
 
 
-def clique_sizes(edges: DataFrame, least: int = 3) -> DataFrame:
-    """Number of maximal cliques of each size."""
-    return cliques(edges, least).groupBy("size").agg(F.count("*").alias("n"))
+def clique_counts(near: list[int], among: int, outside: int) -> dict[int, int]:
+    """Number of maximal cliques by size, of a vertex and vertices of `among`, that none of `outside` extends. Sets are bits; near has the neighbours of each of `among`."""
+    sizes: dict[int, int] = {}
+    stack, mine = [(among, outside, 1)], among
+    while stack:
+        p, x, r = stack.pop()
+        r += 1
+        if not p & (p - 1):
+            if p and not x & near[p.bit_length() - 1]:
+                sizes[r] = sizes.get(r, 0) + 1
+            continue
+        most, pivot, rest = -1, 0, p | (x & mine)
+        while rest:
+            v = rest.bit_length() - 1
+            rest ^= 1 << v
+            if (k := (p & near[v]).bit_count()) > most:
+                most, pivot = k, v
+        rest = p & ~near[pivot]
+        while rest:
+            v = rest.bit_length() - 1
+            bit = 1 << v
+            q, y = p & near[v], x & near[v]
+            if q:
+                stack.append((q, y, r))
+            elif not y:
+                sizes[r] = sizes.get(r, 0) + 1
+            rest ^= bit
+            p ^= bit
+            x |= bit
+    return sizes
+
+
+def clique_counts_at(v: int, place: np.ndarray, heads: np.ndarray, tails: np.ndarray, back_heads: np.ndarray, back_tails: np.ndarray) -> dict[int, int]:
+    """clique_counts of the cliques whose first vertex is v; edges lead from the first to the later vertex, back from the later to the first. place: all -1."""
+    ahead, before = tails[heads[v] : heads[v + 1]], back_tails[back_heads[v] : back_heads[v + 1]]
+    m = len(ahead)
+    near = [0] * m
+    place[ahead] = np.arange(m)
+    for a, x in enumerate(ahead.tolist()):
+        found = place[tails[heads[x] : heads[x + 1]]]
+        for b in found[found >= 0].tolist():
+            near[a] |= 1 << b
+            near[b] |= 1 << a
+    sizes = heads[before + 1] - heads[before]
+    found = place[tails[ranges(heads[before], sizes)]]
+    who, found = np.repeat(np.arange(len(before)), sizes)[found >= 0], found[found >= 0]
+    sort = np.argsort(found, kind="stable")
+    who, cuts = who[sort], np.searchsorted(found[sort], np.arange(m + 1))
+    for a in range(m if len(before) else 0):
+        bits = np.zeros(len(before), dtype=bool)
+        bits[who[cuts[a] : cuts[a + 1]]] = True
+        near[a] |= int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little") << m
+    place[ahead] = -1
+    return clique_counts(near, (1 << m) - 1, ((1 << len(before)) - 1) << m) if m else {}
+
+
+def clique_sizes(edges: DataFrame, least: int = 3, most: int = MAX_PAIRS) -> DataFrame:
+    """Number of maximal cliques of each size, of at least `least` (two or more) vertices. Up to `most` pairs every task holds the graph and only counts,
+    each clique at its first vertex by degree; beyond that the cliques themselves are counted."""
+    pairs = cut(undirected(edges))
+    if pairs.count() > most:
+        return cliques(edges, least).groupBy("size").agg(F.count("*").alias("n"))
+    names, a, b = indexed(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    n = len(names)
+    rank = np.empty(n, dtype=np.int32)
+    rank[np.lexsort((np.arange(n), np.bincount(a, minlength=n) + np.bincount(b, minlength=n)))] = np.arange(n)
+    a, b = rank[a], rank[b]
+    first, later = np.minimum(a, b), np.maximum(a, b)
+    shared = edges.sparkSession.sparkContext.broadcast((*by_head(n, first, later), *by_head(n, later, first)))
+    parts = max(1, n // 200)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, place, sums = shared.value, np.full(n, -1, dtype=np.int32), {}
+        for r in rows:
+            for k in r["id"].to_pylist():
+                for v in range(k, n, parts):
+                    for size, c in clique_counts_at(v, place, *graph).items():
+                        sums[size] = sums.get(size, 0) + c
+        own = sorted(k for k in sums if k >= least)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([sums[k] for k in own], pa.int64())], ["size", "n"])
+
+    return edges.sparkSession.range(0, parts, 1, parts).mapInArrow(run, "size int, n long").groupBy("size").agg(F.sum("n").alias("n"))
 
 
 def communities(edges: DataFrame) -> DataFrame:

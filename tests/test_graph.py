@@ -208,6 +208,21 @@ def test_farthest_of_all_vertices():
         assert k == hops[0] and G.farthest(heads, tails, np.arange(n), 8) == max(hops) and G.farthest(heads, tails, np.array([1]), 8) == hops[1]
 
 
+def test_clique_sizes_are_counted_without_the_cliques(spark, monkeypatch):
+    """All cliques with their members, and all triangles, were written to be counted."""
+    r = random.Random(8)
+    graphs = [sorted({tuple(sorted(r.sample(range(n), 2))) for _ in range(m)}) for n, m in ((8, 20), (14, 60), (40, 30))]
+    graphs += [sorted({(h, v) for v in range(12, 60) for h in range(12) if r.random() < 0.5} | {(h, k) for h in range(12) for k in range(h) if r.random() < 0.7})]
+    monkeypatch.setattr(G, "cliques", None)
+    for pairs in graphs:
+        for least in (2, 3):
+            want: dict = {}
+            for c in all_cliques([(str(a), str(b)) for a, b in pairs], least):
+                want[len(c)] = want.get(len(c), 0) + 1
+            assert {x["size"]: x.n for x in G.clique_sizes(frame(spark, [(str(a), str(b)) for a, b in pairs]), least).collect()} == want
+    assert G.clique_sizes(frame(spark, [("a", "b")]).where("false")).count() == 0
+
+
 def test_components_of_a_long_line_and_label_propagation(spark):
     line = frame(spark, [(f"{i:04d}", f"{i + 1:04d}") for i in range(300)])
     assert {x.component for x in G.components(line).collect()} == {"0000"}
